@@ -1,6 +1,11 @@
 """Name to query and name to oracle SQL of this subpackage."""
 
 from .minhash_dedup import op1_minhash_dedup
+from .tokens import op3_bpe_round_trip, op8_token_counts
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup}
+QUERIES = {
+    "op1_minhash_dedup": op1_minhash_dedup,
+    "op3_bpe_round_trip": op3_bpe_round_trip,
+    "op8_token_counts": op8_token_counts,
+}
 ORACLE: dict[str, str] = {}
