@@ -1,11 +1,15 @@
 """Name to query and name to oracle SQL of this subpackage."""
 
 from .minhash_dedup import op1_minhash_dedup
+from .packing import op2_best_fit_packing
+from .substring_dedup import op6_substring_dedup
 from .tokens import op3_bpe_round_trip, op8_token_counts
 
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op3_bpe_round_trip": op3_bpe_round_trip,
+    "op6_substring_dedup": op6_substring_dedup,
     "op8_token_counts": op8_token_counts,
 }
 ORACLE: dict[str, str] = {}
