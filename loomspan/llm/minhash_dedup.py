@@ -117,24 +117,22 @@ def _agreeing(least: int):
 
 
 def _blockwise(least: int):
-    """From bucket members dealt to pairs of blocks: for each member its best partner in each other group."""
+    """From bucket members dealt to pairs of blocks: for each one outside the bucket's main group (side 0) its best partner in each other group."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in runs(batches, ["bkey", "x", "y"]):
-            ids, comp = run.column("id").to_numpy(), run.column("comp").to_numpy()
-            if run.num_rows < 2 or (comp == comp[0]).all():
+            side = run.column("side").to_numpy()
+            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            if not len(left) or not len(right):
                 continue
-            sig, n = _matrix(run.column("sig")), run.column("n").to_numpy()
+            ids, comp, sig = run.column("id").to_numpy(), run.column("comp").to_numpy(), _matrix(run.column("sig"))
             found_a, found_b = [], []
-            for i in range(1, len(ids)):
-                other = np.flatnonzero(comp[:i] != comp[i])
-                if not len(other):
-                    continue
+            for i in left.tolist():
+                other = right[comp[right] != comp[i]]
                 same = (sig[other] == sig[i]).sum(1)
-                good = same >= least
-                if good.any():
-                    o, s = other[good], same[good]
-                    order = np.lexsort((-s, comp[o]))
+                o, same = other[same >= least], same[same >= least]
+                if len(o):
+                    order = np.lexsort((-same, comp[o]))
                     best = order[np.unique(comp[o][order], return_index=True)[1]]
                     found_a.append(np.full(len(best), ids[i]))
                     found_b.append(ids[o[best]])
@@ -201,9 +199,13 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = max(1, round(MINIMA * (percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / MINIMA) ** 0.5)))
     nodes = signed.where("id is not null and n > 0")
     same = nodes.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    reps = nodes.join(same.where("copies > 1").select("n", "d1", "d2", "rep"), ["n", "d1", "d2"], "left").where("rep is null or rep = id")
+    same = written(same.where("copies > 1").select("n", "d1", "d2", "rep"), "copies")  # a table, so that a skewed join with it can be split
+    reps = nodes.join(same, ["n", "d1", "d2"], "left").where("rep is null or rep = id")
     reps = written(reps.select("id", "n", "sig").dropDuplicates(["id", "n"]), "reps")
 
+    at = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
     # buckets with two members or more
     rows = reps.select("id", "sig").mapInArrow(_banding, "bkey long, id long")
     shared = rows.groupBy("bkey").agg(F.count("*").alias("m")).where("m > 1")
@@ -218,11 +220,16 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = star.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("siga")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sigb")), "b")
     rough = written(pairs.mapInArrow(_agreeing(least), "a long, b long"), "rough")
     coarse = connected_components(rough)
-    held = buckets.join(coarse.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
-    split = held.groupBy("bkey").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bkey")
-    left = held.join(split, "bkey").join(reps, "id").withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int"))
-    left = left.withColumn("blk", F.pmod(F.xxhash64("id"), "nb").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    left = left.select("bkey", F.least("blk", "o").alias("x"), F.greatest("blk", "o").alias("y"), "id", "comp", "n", "sig")
+    held = weighed.join(coarse.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
+    held = written(held.select("bkey", "id", "m", "comp", "w"), "held")
+    major = held.groupBy("bkey").agg(F.max(F.struct("w", (-F.col("id")).alias("neg"), "comp")).alias("top")).select("bkey", F.col("top.comp").alias("major"))
+    held2 = held.join(major, "bkey")
+    split = held2.where("comp <> major").groupBy("bkey").agg(F.count("*").alias("out"))
+    left = held2.join(split, "bkey").join(reps, "id").withColumn("nx", F.ceil(F.col("out") / BLOCK).cast("int")).withColumn("ny", F.ceil(F.col("m") / BLOCK).cast("int"))
+    cols = ["bkey", "x", "y", "side", "id", "comp", "n", "sig"]
+    ones = left.where("comp <> major").withColumn("side", F.lit(0)).withColumn("x", at("nx")).withColumn("y", every("ny"))
+    others = left.withColumn("side", F.lit(1)).withColumn("y", at("ny")).withColumn("x", every("nx"))
+    left = ones.select(cols).union(others.select(cols))
     more = left.repartition("bkey", "x", "y").sortWithinPartitions("bkey", "x", "y").mapInArrow(_blockwise(least), "a long, b long").distinct()
     rough2 = written(rough.union(more), "rough")
     coarse2 = connected_components(rough2)
@@ -242,19 +249,18 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     known = full.join(near.select(F.col("a").alias("id"), F.lit(True).alias("ok")), "id", "left").withColumn("fine", F.when(F.expr("ok or id = centre"), F.col("centre")).otherwise(F.col("id")))
     count = known.groupBy("comp").agg(F.count("*").alias("m"), F.sum(F.when(F.expr("ok is null and id <> centre"), 1).otherwise(0)).alias("out")).where("out > 0 and m > 2")
     known = known.join(count, "comp").withColumn("nx", F.ceil(F.col("out") / BLOCK).cast("int")).withColumn("ny", F.ceil(F.col("m") / BLOCK).cast("int"))
-    at = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     cols = ["comp", "x", "y", "side", "id", "fine", "n", "sig", "grams"]
-    ones = known.where("ok is null and id <> centre").withColumn("side", F.lit(0)).withColumn("x", at("nx")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("ny") - 1)))
-    others = known.where("id <> centre").withColumn("side", F.lit(1)).withColumn("y", at("ny")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)))
+    ones = known.where("ok is null and id <> centre").withColumn("side", F.lit(0)).withColumn("x", at("nx")).withColumn("y", every("ny"))
+    others = known.where("id <> centre").withColumn("side", F.lit(1)).withColumn("y", at("ny")).withColumn("x", every("nx"))
     last = ones.select(cols).union(others.select(cols)).repartition("comp", "x", "y").sortWithinPartitions("comp", "x", "y")
     links = near.union(last.mapInArrow(_confirming(percent, least), "a long, b long"))
     label = connected_components(links)
 
-    out = signed.select("id", "n", "d1", "d2").join(same.where("copies > 1").select("n", "d1", "d2", "rep"), ["n", "d1", "d2"], "left")
+    out = signed.select("id", "n", "d1", "d2").join(same, ["n", "d1", "d2"], "left")
     out = out.withColumn("rep", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id"))).join(label.select(F.col("node").alias("rep"), "component"), "rep", "left")
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     out = out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
-    drop(reps, buckets, rough, rough2, groups, full)
+    drop(reps, buckets, rough, rough2, held, groups, full)
     return out
 
 

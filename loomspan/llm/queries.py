@@ -1,7 +1,9 @@
 """Name to query and name to oracle SQL of this subpackage."""
 
+from .language_id import op10_language_id
 from .minhash_dedup import op1_minhash_dedup
 from .packing import op2_best_fit_packing
+from .quality import op7_quality_rules
 from .substring_dedup import op6_substring_dedup
 from .tokens import op3_bpe_round_trip, op8_token_counts
 
@@ -10,6 +12,8 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_quality_rules": op7_quality_rules,
     "op8_token_counts": op8_token_counts,
+    "op10_language_id": op10_language_id,
 }
 ORACLE: dict[str, str] = {}
