@@ -25,12 +25,11 @@ from pyspark.sql import functions as F
 from ._runs import runs
 from ._scratch import drop, written
 from ._words import BYTE, BYTE_LOWER, U, bounds, hashes, mix, slices, windows
+from .buckets import BLOCK, Likeness, at, coarse_groups, every
 from .components import connected_components
 
 #: Minima of a signature, and minima of a band. A pair of similarity 0.8 misses all 32 bands once in 300,000 times.
 MINIMA, ROWS = 160, 5
-#: Documents of a block.
-BLOCK = 128
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int, lower: bool) -> list[np.ndarray]:
@@ -106,42 +105,6 @@ def _banding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column("id").to_numpy(), keys.shape[1]))], ["bkey", "id"])
 
 
-def _agreeing(least: int):
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                same = (_matrix(batch.column("siga")) == _matrix(batch.column("sigb"))).sum(1)
-                yield batch.select(["a", "b"]).filter(pa.array(same >= least))
-
-    return keep
-
-
-def _blockwise(least: int):
-    """From bucket members dealt to pairs of blocks: for each one outside the bucket's main group (side 0) its best partner in each other group."""
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in runs(batches, ["bkey", "x", "y"]):
-            side = run.column("side").to_numpy()
-            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            if not len(left) or not len(right):
-                continue
-            ids, comp, sig = run.column("id").to_numpy(), run.column("comp").to_numpy(), _matrix(run.column("sig"))
-            found_a, found_b = [], []
-            for i in left.tolist():
-                other = right[comp[right] != comp[i]]
-                same = (sig[other] == sig[i]).sum(1)
-                o, same = other[same >= least], same[same >= least]
-                if len(o):
-                    order = np.lexsort((-same, comp[o]))
-                    best = order[np.unique(comp[o][order], return_index=True)[1]]
-                    found_a.append(np.full(len(best), ids[i]))
-                    found_b.append(ids[o[best]])
-            if found_a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], ["a", "b"])
-
-    return keep
-
-
 def _setting(id_col: str, text_col: str, size: int, lower: bool):
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,41 +166,14 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     reps = nodes.join(same, ["n", "d1", "d2"], "left").where("rep is null or rep = id")
     reps = written(reps.select("id", "n", "sig").dropDuplicates(["id", "n"]), "reps")
 
-    at = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-
-    # buckets with two members or more
-    rows = reps.select("id", "sig").mapInArrow(_banding, "bkey long, id long")
-    shared = rows.groupBy("bkey").agg(F.count("*").alias("m")).where("m > 1")
-    buckets = written(rows.join(shared, "bkey"), "buckets")
-    weight = buckets.groupBy("id").agg(F.sum("m").alias("w"))
-    weighed = buckets.join(weight, "id").withColumn("rank", F.struct("w", (-F.col("id")).alias("neg")))
-    centre = weighed.groupBy("bkey").agg(F.max("rank").alias("top"))
-    star = weighed.join(centre, "bkey").where("top.neg <> -id").groupBy("id").agg(F.max("top").alias("top")).select(F.col("id").alias("a"), (-F.col("top.neg")).alias("b"))
-
-    # coarse groups by signature: the best centre of each member first, then across groups that still share a bucket
+    # coarse groups by signature
     sigs = reps.select("id", "sig")
-    pairs = star.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("siga")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sigb")), "b")
-    rough = written(pairs.mapInArrow(_agreeing(least), "a long, b long"), "rough")
-    coarse = connected_components(rough)
-    held = weighed.join(coarse.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
-    held = written(held.select("bkey", "id", "m", "comp", "w"), "held")
-    major = held.groupBy("bkey").agg(F.max(F.struct("w", (-F.col("id")).alias("neg"), "comp")).alias("top")).select("bkey", F.col("top.comp").alias("major"))
-    held2 = held.join(major, "bkey")
-    split = held2.where("comp <> major").groupBy("bkey").agg(F.count("*").alias("out"))
-    left = held2.join(split, "bkey").join(reps, "id").withColumn("nx", F.ceil(F.col("out") / BLOCK).cast("int")).withColumn("ny", F.ceil(F.col("m") / BLOCK).cast("int"))
-    cols = ["bkey", "x", "y", "side", "id", "comp", "n", "sig"]
-    ones = left.where("comp <> major").withColumn("side", F.lit(0)).withColumn("x", at("nx")).withColumn("y", every("ny"))
-    others = left.withColumn("side", F.lit(1)).withColumn("y", at("ny")).withColumn("x", every("nx"))
-    left = ones.select(cols).union(others.select(cols))
-    more = left.repartition("bkey", "x", "y").sortWithinPartitions("bkey", "x", "y").mapInArrow(_blockwise(least), "a long, b long").distinct()
-    rough2 = written(rough.union(more), "rough")
-    coarse2 = connected_components(rough2)
+    rows = sigs.mapInArrow(_banding, "bkey long, id long")
+    coarse, weight = coarse_groups(rows, sigs, Likeness("u2", lambda a, b: (a == b).sum(1), least))
 
     # links on full sets
-    groups = coarse2.select(F.col("node").alias("id"), F.col("component").alias("comp"))
-    top = groups.join(weight, "id", "left").groupBy("comp").agg(F.max(F.struct(F.coalesce("w", F.lit(0)), (-F.col("id")).alias("neg"))).alias("top"))
-    groups = written(groups.join(top.select("comp", (-F.col("top.neg")).alias("centre")), "comp"), "groups")
+    top = coarse.join(weight, "id", "left").groupBy("comp").agg(F.max(F.struct(F.coalesce("w", F.lit(0)), (-F.col("id")).alias("neg"))).alias("top"))
+    groups = written(coarse.join(top.select("comp", (-F.col("top.neg")).alias("centre")), "comp"), "groups")
     texts = read.join(groups.select(F.col("id").alias(id_col)).distinct(), id_col, "left_semi")
     sets = texts.mapInArrow(_setting(id_col, text_col, shingle, lower), "id long, grams array<long>")
     full = written(groups.join(sets, "id").join(reps.select("id", "n", "sig"), "id").where(F.size("grams") == F.col("n")).dropDuplicates(["id", "n"]), "full")
@@ -260,7 +196,7 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     out = out.withColumn("rep", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id"))).join(label.select(F.col("node").alias("rep"), "component"), "rep", "left")
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     out = out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
-    drop(reps, buckets, rough, rough2, held, groups, full)
+    drop(reps, weight, groups, full)
     return out
 
 
