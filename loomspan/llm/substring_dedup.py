@@ -22,7 +22,7 @@ keeps its text and takes part in nothing; rows that share an id are one document
 never remove each other's words; other columns are ignored.
 """
 
-import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,7 +78,8 @@ class _Slice:
         lens = np.concatenate([np.frombuffer(r["lens"], np.int64) for r in rows])
         data = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(r["body"]) for r in rows), np.uint8)
         self.data, self.ids, self.size = data, ids, size
-        self.starts, self.ends, self.at = bounds(data, np.concatenate([[0], np.cumsum(lens)]))
+        self.offsets = np.concatenate([[0], np.cumsum(lens)])
+        self.starts, self.ends, self.at = bounds(data, self.offsets)
         self.words = hashes(data, self.starts, self.ends)
         self.count = np.diff(self.at)
         self.doc = np.repeat(np.arange(len(ids)), self.count)
@@ -255,7 +256,8 @@ def _removing(size: int, id_col: str, text_col: str):
                     kept.append(b" ".join(body[starts[a] : ends[b - 1]].split()) if b > a else b"")
                 else:
                     kept.append(b" ".join([body[starts[i] : ends[i]] for i in range(a, b) if not drop_word[i]]))
-            yield pa.RecordBatch.from_arrays([pa.array(s.ids), pa.array(s.count), pa.array(lost), pa.array([x.decode() for x in kept], pa.string())], [id_col, "n_words", "n_removed", "kept_text"])
+            sums = [zlib.crc32(body[a:b]) for a, b in zip(s.offsets[:-1].tolist(), s.offsets[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(s.ids), pa.array(s.count), pa.array(lost), pa.array([x.decode() for x in kept], pa.string()), pa.array(sums, pa.int64())], [id_col, "n_words", "n_removed", "kept_text", "text_crc32"])
 
     return run
 
@@ -263,15 +265,16 @@ def _removing(size: int, id_col: str, text_col: str):
 def _counting(id_col: str, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole = [b" ".join(t.encode().split()) if t else b"" for t in batch.column(text_col).to_pylist()]
+            raw = [(t or "").encode() for t in batch.column(text_col).to_pylist()]
+            whole = [b" ".join(t.split()) for t in raw]
             n = [t.count(b" ") + 1 if t else 0 for t in whole]
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(n, pa.int64()), pa.array([0] * len(n), pa.int64()), pa.array([t.decode() for t in whole], pa.string())], [id_col, "n_words", "n_removed", "kept_text"])
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(n, pa.int64()), pa.array([0] * len(n), pa.int64()), pa.array([t.decode() for t in whole], pa.string()), pa.array([zlib.crc32(t) for t in raw], pa.int64())], [id_col, "n_words", "n_removed", "kept_text", "text_crc32"])
 
     return run
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 13) -> DataFrame:
-    """One row per row of `docs`: `id_col`, `n_words`, `n_removed`, `kept_text` (kept words joined by a space).
+    """One row per row of `docs`: `id_col`, `n_words`, `n_removed`, `kept_text` (kept words joined by a space), `text_crc32` (of the whole text).
 
     Runs jobs that write tables to the shared folder; the last pass is left to the caller.
     """
@@ -287,11 +290,20 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wide = dealt(packed().union(hits), "slice").mapInArrow(_extending(size, ranges, ranges), "range long, slice long, w1 binary, w2 binary, ids binary")
     least = written(dealt(wide, "range").mapInArrow(_settling, _PACKED), "repeats")
     drop(hits)
-    schema = f"`{id_col}` long, n_words long, n_removed long, kept_text string"
+    schema = f"`{id_col}` long, n_words long, n_removed long, kept_text string, text_crc32 long"
     out = dealt(packed().union(least), "slice").mapInArrow(_removing(size, id_col, text_col), schema)
     return out.union(read.where(F.col(id_col).isNull()).mapInArrow(_counting(id_col, text_col), schema))
 
 
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 13) -> DataFrame:
+    """`docs` with the same columns and rows; texts that lose words are their kept words joined by a space, others stay as they are."""
+    found = substring_dedup(docs, id_col, text_col, size).where("n_removed > 0")
+    found = written(found.select(F.col(id_col).alias("loomspan_id"), F.col("text_crc32").alias("loomspan_crc"), F.col("kept_text").alias("loomspan_text")).dropDuplicates(["loomspan_id", "loomspan_crc"]), "kept")
+    same = (F.col(id_col).cast("long") == F.col("loomspan_id")) & (F.crc32(F.col(text_col).cast("binary")) == F.col("loomspan_crc"))
+    out = docs.join(found, same, "left")
+    return out.select(*[(F.coalesce("loomspan_text", text_col).alias(c) if c == text_col else F.col(c)) for c in docs.columns])
+
+
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
     out = substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
