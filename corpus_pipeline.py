@@ -7,7 +7,7 @@ last return the columns of documents.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm._scratch import drop, written
+from loomspan.scratch import drop, written
 from loomspan.llm.line_dedup import drop_templates
 from loomspan.llm.minhash_dedup import minhash_dedup
 from loomspan.llm.packing import pack_tokens

@@ -4,6 +4,7 @@ import pandas as pd
 import corpus_pipeline as cp
 from loomspan.llm import quality
 from loomspan.llm.line_dedup import template_sql
+from loomspan.scratch import written
 from tests.llm.test_minhash_dedup import brute as near
 from tests.llm.test_packing import check
 from tests.llm.test_substring_dedup import brute as repeats
@@ -20,7 +21,7 @@ def test_stages_against_brute_force(spark, sf):
     want = [(i, t) for i, t in rows if i in kept]
     for (name, stage), expect in zip(cp.STAGES[:4], (lambda _: want, by_sql, by_groups, by_windows)):
         before = rows
-        docs = cp.written(stage(spark, docs, sf), name)
+        docs = written(stage(spark, docs, sf), name)
         rows = rows_of(docs)
         assert docs.columns == columns and rows == sorted(expect(before))
     assert 0 < len(rows) < 200
