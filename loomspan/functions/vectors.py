@@ -58,7 +58,7 @@ def listed(xs: Column) -> Column:
 
 def all_ones(n: Column) -> Column:
     """The least 2**m - 1 that is not below n."""
-    return F.when(n <= 0, F.lit(0).cast("long")).otherwise(F.shiftleft(F.lit(1).cast("long"), F.length(F.bin(n))) - 1)
+    return F.when(n <= 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(n))) - 1)
 
 
 def bucket_of(key: Column, n: int) -> Column:

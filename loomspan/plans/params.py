@@ -8,7 +8,7 @@ from itertools import product
 from pyspark.sql import DataFrame, SparkSession
 
 _KINDS: dict[str, Callable] = {"int": int, "float": float, "double": float, "string": str}
-_NUMBER = {"int": re.compile(r"-?[0-9]+"), "float": re.compile(r"-?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)"), "string": re.compile(r"[^,\[\]]+")}
+_NUMBER = {"int": re.compile(r"-?[0-9]+"), "float": re.compile(r"-?(?:[0-9]+(?:\.[0-9]+)?|\.[0-9]+)"), "string": re.compile(r"[^,\[\]]+")}
 _NUMBER["double"] = _NUMBER["float"]
 
 
