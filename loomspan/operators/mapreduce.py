@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import lines_of, words_on_space, words_on_white_space
+from .positions import with_position
 
 
 def map_reduce(lines: DataFrame, mapper: Callable[[Column], Column], reducer: Callable[[Column], Column], value_col: str = "value") -> DataFrame:
@@ -17,12 +18,26 @@ def map_reduce(lines: DataFrame, mapper: Callable[[Column], Column], reducer: Ca
     return pairs.groupBy("key").agg(reducer(F.col("value")).alias("value"))
 
 
-def reduce_by_key_ordered(df: DataFrame, key: str, value: str, order: list[str], op: Callable[[Column, Column], Column], name: str = "value") -> DataFrame:
-    """Left fold of each key's values in a given total order, for operations that may not commute; the order decides, not the partitioning."""
-    rows = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("loomspan_v"))))
-    lists = df.groupBy(key).agg(rows.alias("rows"))
+def reduce_by_key_ordered(df: DataFrame, key: str, value: str, order: list[str], op: Callable[[Column, Column], Column], name: str = "value", chunk: int | None = None) -> DataFrame:
+    """Fold of each key's values in a given total order by an associative operation that may not commute; the order decides, not the partitioning.
+
+    With `chunk`, rows are placed in order first and each run of so many neighbouring rows of a key
+    is folded alone, then the runs' results: a key with very many rows is spread over tasks and
+    its rows are never one list.
+    """
+    if chunk is None:
+        return _fold_lists(df, [key], value, order, op).select(key, F.col("loomspan_v").alias(name))
+    placed = with_position(df.select(*dict.fromkeys([key, value, *order])), [key, *order], "loomspan_pos")
+    runs = placed.withColumn("loomspan_run", F.floor(F.col("loomspan_pos") / chunk))
+    parts = _fold_lists(runs, [key, "loomspan_run"], value, ["loomspan_pos"], op)
+    return _fold_lists(parts, [key], "loomspan_v", ["loomspan_run"], op).select(key, F.col("loomspan_v").alias(name))
+
+
+def _fold_lists(df: DataFrame, keys: list[str], value: str, order: list[str], op: Callable[[Column, Column], Column]) -> DataFrame:
+    rows = F.array_sort(F.collect_list(F.struct(*[F.col(c).alias(f"o{k}") for k, c in enumerate(order)], F.col(value).alias("loomspan_v"))))
+    lists = df.groupBy(*keys).agg(rows.alias("rows"))
     rest = F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0)))
-    return lists.select(key, F.aggregate(rest, F.get("rows", F.lit(0))["loomspan_v"], lambda s, r: op(s, r["loomspan_v"])).alias(name))
+    return lists.select(*keys, F.aggregate(rest, F.get("rows", F.lit(0))["loomspan_v"], lambda s, r: op(s, r["loomspan_v"])).alias("loomspan_v"))
 
 
 def word_count(df: DataFrame, text_col: str = "text", white_space: bool = False) -> DataFrame:

@@ -65,6 +65,13 @@ def reduce_by_key_ordered(spark, sf_dir):
     return mapreduce.reduce_by_key_ordered(events, "user_id", "letter", ["ts", "event_id"], lambda a, b: F.concat(a, b), "folded")
 
 
+@query("SELECT event_type, string_agg(substr(CAST(event_id AS VARCHAR), 1, 1), '' ORDER BY ts, event_id) AS folded FROM events GROUP BY event_type")
+def reduce_by_hot_key_ordered(spark, sf_dir):
+    """Few keys with very many rows each: folded run by run."""
+    events = table(spark, sf_dir, "events").withColumn("digit", F.substring(F.col("event_id").cast("string"), 1, 1))
+    return mapreduce.reduce_by_key_ordered(events, "event_type", "digit", ["ts", "event_id"], lambda a, b: F.concat(a, b), "folded", chunk=1024)
+
+
 @query("SELECT l_orderkey, l_linenumber, 2 * (l_discount + 1) AS value FROM lineitem")
 def map_pipeline(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_discount").alias("value"))
