@@ -87,7 +87,9 @@ def coarse_groups(rows: DataFrame, sigs: DataFrame, like: Likeness) -> tuple[Dat
     star = weighed.join(centre, "bkey").where("top.neg <> -id").groupBy("id").agg(F.max("top").alias("top")).select(F.col("id").alias("a"), (-F.col("top.neg")).alias("b"))
     pairs = star.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("siga")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sigb")), "b")
     rough = written(pairs.mapInArrow(_alike(like), "a long, b long"), "rough")
-    coarse = connected_components(rough).select(F.col("node").alias("id"), "component")
+    # for now a centre's group is the centre and those alike to it; what links groups is in the pairs
+    centres = rough.select(F.col("b").alias("id")).distinct()
+    coarse = rough.join(centres, rough["a"] == centres["id"], "left_anti").select(F.col("a").alias("id"), F.col("b").alias("component"))
 
     held = written(weighed.join(coarse, "id", "left").select("bkey", "id", "m", "w", F.coalesce("component", "id").alias("comp")), "held")
     major = held.groupBy("bkey").agg(F.max(F.struct("w", (-F.col("id")).alias("neg"), "comp")).alias("top")).select("bkey", F.col("top.comp").alias("major"))

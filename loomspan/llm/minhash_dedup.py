@@ -30,6 +30,8 @@ from .components import connected_components
 
 #: Minima of a signature, and minima of a band. A pair of similarity 0.8 misses all 32 bands once in 300,000 times.
 MINIMA, ROWS = 160, 5
+#: Members of a group that meet one copy of its centre.
+SHARE = 256
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int, lower: bool) -> list[np.ndarray]:
@@ -172,14 +174,15 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     coarse, weight = coarse_groups(rows, sigs, Likeness("u2", lambda a, b: (a == b).sum(1), least))
 
     # links on full sets
-    top = coarse.join(weight, "id", "left").groupBy("comp").agg(F.max(F.struct(F.coalesce("w", F.lit(0)), (-F.col("id")).alias("neg"))).alias("top"))
-    groups = written(coarse.join(top.select("comp", (-F.col("top.neg")).alias("centre")), "comp"), "groups")
+    top = coarse.join(weight, "id", "left").groupBy("comp").agg(F.max(F.struct(F.coalesce("w", F.lit(0)), (-F.col("id")).alias("neg"))).alias("top"), F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
+    groups = written(coarse.join(top.select("comp", (-F.col("top.neg")).alias("centre"), "shares"), "comp"), "groups")
     texts = read.join(groups.select(F.col("id").alias(id_col)).distinct(), id_col, "left_semi")
     sets = texts.mapInArrow(_setting(id_col, text_col, shingle, lower), "id long, grams array<long>")
     full = written(groups.join(sets, "id").join(reps.select("id", "n", "sig"), "id").where(F.size("grams") == F.col("n")).dropDuplicates(["id", "n"]), "full")
-    mid = full.where("id = centre").select("centre", F.col("grams").alias("cgrams"), F.col("n").alias("cn"))
+    # a centre is repeated for every SHARE members, so that no task meets more of them
+    mid = full.where("id = centre").select("centre", every("shares").alias("share"), F.col("grams").alias("cgrams"), F.col("n").alias("cn"))
     both = F.size(F.array_intersect("grams", "cgrams"))
-    near = full.where("id <> centre").select("id", "centre", "grams", "n").join(mid, "centre").where(100 * F.least("n", "cn") >= percent * F.greatest("n", "cn"))
+    near = full.where("id <> centre").select("id", "centre", at("shares").alias("share"), "grams", "n").join(mid, ["centre", "share"]).where(100 * F.least("n", "cn") >= percent * F.greatest("n", "cn"))
     near = written(near.where(100 * both >= percent * (F.col("n") + F.col("cn") - both)).select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct(), "near")
 
     known = full.join(near.select(F.col("a").alias("id"), F.lit(True).alias("ok")), "id", "left").withColumn("fine", F.when(F.expr("ok or id = centre"), F.col("centre")).otherwise(F.col("id")))
