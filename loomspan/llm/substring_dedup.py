@@ -35,8 +35,9 @@ from ._runs import runs
 from ..scratch import drop, written
 from ._words import U, bounds, hashes, mix, slices, texts, windows
 
-#: Bytes of text of a slice, and windows of a hash range, about.
-SLICE_BYTES, RANGE_KEYS = 4 << 20, 2 << 20
+#: Bytes of text of a slice, and windows of a hash range, about; both grow with the root of the input up to GROWN times,
+#: so that what a slice sends to a range stays worth a row.
+SLICE_BYTES, RANGE_KEYS, GROWN = 4 << 20, 2 << 20, 8
 _PACK = 16 << 20
 
 
@@ -279,9 +280,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Runs jobs that write tables to the shared folder; the last pass is left to the caller.
     """
     read = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
-    total = read.agg(F.sum(F.octet_length(text_col)), F.count("*")).first()
-    count = max(1, -(-(total[0] or 0) // SLICE_BYTES))
-    ranges = max(1, -(-(total[0] or 0) // 6 // RANGE_KEYS))
+    total = read.agg(F.sum(F.octet_length(text_col))).first()
+    size_of_all = int(total[0] or 0)
+    grown = min(GROWN, max(1.0, (size_of_all / (SLICE_BYTES << 10)) ** 0.5))
+    count = max(1, round(size_of_all / (SLICE_BYTES * grown)))
+    ranges = max(1, round(size_of_all / 6 / (RANGE_KEYS * grown)))
     named = read.where(F.col(id_col).isNotNull())
     packed = lambda: named.mapInArrow(_packing(id_col, text_col, count), _PACKED)
     dealt = lambda df, key: df.repartition(key).sortWithinPartitions(key, *(["kind"] if "kind" in df.columns else []))
