@@ -1,5 +1,6 @@
 """Name to query and name to oracle SQL of this subpackage."""
 
+from . import oracle
 from .embedding_dedup import op4_embedding_dedup
 from .language_id import op10_language_id
 from .line_dedup import OP9_SQL, op9_line_dedup
@@ -22,4 +23,10 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
 }
-ORACLE: dict[str, str] = {"op5_url_filter": OP5_SQL, "op9_line_dedup": OP9_SQL}
+ORACLE: dict[str, str] = {
+    "op1_minhash_dedup": oracle.OP1,
+    "op4_embedding_dedup": oracle.OP4,
+    "op5_url_filter": OP5_SQL,
+    "op6_substring_dedup": oracle.OP6,
+    "op9_line_dedup": OP9_SQL,
+}
