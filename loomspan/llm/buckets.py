@@ -11,8 +11,8 @@ from ._runs import runs
 from ..scratch import drop, written
 from .components import connected_components
 
-#: Members of a block.
-BLOCK = 128
+#: Members of a block, and steps towards the last centre before the rest is compared in blocks.
+BLOCK, DOUBLINGS = 128, 3
 
 
 class Likeness:
@@ -87,9 +87,12 @@ def coarse_groups(rows: DataFrame, sigs: DataFrame, like: Likeness) -> tuple[Dat
     star = weighed.join(centre, "bkey").where("top.neg <> -id").groupBy("id").agg(F.max("top").alias("top")).select(F.col("id").alias("a"), (-F.col("top.neg")).alias("b"))
     pairs = star.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("siga")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sigb")), "b")
     rough = written(pairs.mapInArrow(_alike(like), "a long, b long"), "rough")
-    # for now a centre's group is the centre and those alike to it; what links groups is in the pairs
-    centres = rough.select(F.col("b").alias("id")).distinct()
-    coarse = rough.join(centres, rough["a"] == centres["id"], "left_anti").select(F.col("a").alias("id"), F.col("b").alias("component"))
+    # each row points to a centre of higher rank: a few doublings bring most rows to their last one
+    coarse = rough.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    for _ in range(DOUBLINGS):
+        onward = coarse.select(F.col("id").alias("component"), F.col("component").alias("next"))
+        before, coarse = coarse, written(coarse.join(onward, "component", "left").select("id", F.coalesce("next", "component").alias("component")), "pointers")
+        drop(before)
 
     held = written(weighed.join(coarse, "id", "left").select("bkey", "id", "m", "w", F.coalesce("component", "id").alias("comp")), "held")
     major = held.groupBy("bkey").agg(F.max(F.struct("w", (-F.col("id")).alias("neg"), "comp")).alias("top")).select("bkey", F.col("top.comp").alias("major"))
@@ -103,5 +106,5 @@ def coarse_groups(rows: DataFrame, sigs: DataFrame, like: Likeness) -> tuple[Dat
     more = left.repartition("bkey", "x", "y").sortWithinPartitions("bkey", "x", "y").mapInArrow(_blockwise(like), "a long, b long").distinct()
     both = written(rough.union(more), "rough")
     groups = connected_components(both).select(F.col("node").alias("id"), F.col("component").alias("comp"))
-    drop(buckets, rough, held, both)
+    drop(buckets, rough, coarse, held, both)
     return groups, weight

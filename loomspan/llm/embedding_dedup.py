@@ -27,7 +27,7 @@ from ._words import U, mix
 from .buckets import Likeness, at, coarse_groups
 from .components import connected_components
 
-#: Tables, and hashes of a table: pairs at cosine 0.98 in 64 dimensions are missed less than once in a million.
+#: Tables, and hashes of a table; in 64 dimensions all pairs at a cosine of 0.98 or more were found on the test tables.
 TABLES, HASHES = 8, 2
 #: Vectors of a block.
 BLOCK = 256
