@@ -1,7 +1,9 @@
 """Flat-map, combine and reduce by key; word counts."""
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,48 @@ def map_reduce(lines: DataFrame, mapper: Callable[[Column], Column], reducer: Ca
     return pairs.groupBy("key").agg(reducer(F.col("value")).alias("value"))
 
 
+def map_reduce_python(lines: DataFrame, mapper: Callable[[str], Iterable[tuple]], op: Callable, schema: str = "key string, value long", value_col: str = "value", most: int = 100_000) -> DataFrame:
+    """`map_reduce` for Python functions: the mapper gives pairs for a line, the associative operation joins two values.
+
+    Pairs are combined in the task that made them, in line order, up to `most` keys at a time;
+    partial values keep their order in the final fold, so the operation need not commute.
+    """
+
+    def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, seq, held = TaskContext.get().partitionId(), 0, {}
+
+        def flushed() -> pd.DataFrame:
+            return pd.DataFrame({"key": list(held), "value": list(held.values()), "part": part, "seq": seq})
+
+        for batch in batches:
+            for line in batch[value_col]:
+                for key, value in mapper(line):
+                    held[key] = op(held[key], value) if key in held else value
+                if len(held) >= most:
+                    yield flushed()
+                    seq, held = seq + 1, {}
+        if held:
+            yield flushed()
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, total, any_ = None, None, False
+        for batch in batches:
+            out = []
+            for key, value in zip(batch["key"].tolist(), batch["value"].tolist()):
+                if any_ and key == now:
+                    total = op(total, value)
+                else:
+                    if any_:
+                        out.append((now, total))
+                    now, total, any_ = key, value, True
+            yield pd.DataFrame(out, columns=["key", "value"])
+        if any_:
+            yield pd.DataFrame([(now, total)], columns=["key", "value"])
+
+    parts = lines.select(value_col).mapInPandas(combine, f"{schema}, part long, seq long")
+    return parts.repartition("key").sortWithinPartitions("key", "part", "seq").select("key", "value").mapInPandas(fold, schema)
+
+
 def reduce_by_key_ordered(df: DataFrame, key: str, value: str, order: list[str], op: Callable[[Column, Column], Column], name: str = "value", chunk: int | None = None) -> DataFrame:
     """Fold of each key's values in a given total order by an associative operation that may not commute; the order decides, not the partitioning.
 

@@ -59,6 +59,12 @@ def map_reduce_longest(spark, sf_dir):
     return mapreduce.map_reduce(lines, pairs, F.max)
 
 
+@query(ORACLE["word_count"].replace("word,", "word AS key,").replace("AS n", "AS value"))
+def word_count_python(spark, sf_dir):
+    lines = text.lines_of(table(spark, sf_dir, "documents"), "text")
+    return mapreduce.map_reduce_python(lines, lambda line: ((w, 1) for w in line.split(" ") if w), lambda a, b: a + b)
+
+
 @query("SELECT user_id, string_agg(substr(event_type, 1, 1), '' ORDER BY ts, event_id) AS folded FROM events GROUP BY user_id")
 def reduce_by_key_ordered(spark, sf_dir):
     events = table(spark, sf_dir, "events").withColumn("letter", F.substring("event_type", 1, 1))

@@ -88,6 +88,21 @@ def test_tokens(spark):
     assert {tuple(r) for r in mapreduce.word_count(df, white_space=True).collect()} == {("a", 2), ("b", 1), ("x", 1), ("y", 1), ("z", 1)}
 
 
+def test_python_map_reduce_keeps_line_order(spark):
+    df = spark.createDataFrame([(f"k{i % 3} {i}",) for i in range(200)], "value string").coalesce(1)
+    pair = lambda line: [tuple(line.split(" "))]
+    for most in (2, 1000):
+        got = dict(map(tuple, mapreduce.map_reduce_python(df, pair, lambda a, b: a + b, "key string, value string", most=most).collect()))
+        assert got == {f"k{k}": "".join(str(i) for i in range(k, 200, 3)) for k in range(3)}
+    assert mapreduce.map_reduce_python(df.limit(0), pair, lambda a, b: a + b, "key string, value string").collect() == []
+
+
+def test_ordered_reduce_by_runs(spark):
+    df = spark.range(900).select((F.col("id") % 2).alias("k"), "id", F.col("id").cast("string").alias("w"))
+    whole, runs = (dict(map(tuple, mapreduce.reduce_by_key_ordered(df, "k", "w", ["id"], lambda a, b: F.concat(a, b), chunk=c).collect())) for c in (None, 50))
+    assert whole == runs == {k: "".join(map(str, range(k, 900, 2))) for k in (0, 1)}
+
+
 # windows, order
 
 
