@@ -42,15 +42,15 @@ def sorted_files(df: DataFrame, order: list[str], path: str, by: list[str] | Non
 
 
 def cluster_report(assigned: DataFrame, found: Clustering, path: str, options: dict | None = None, append: bool = False) -> None:
-    """One text file a trial: options, centres, then `id:<cluster> d²=<distance>` for each point by id.
+    """Text: options, centres, then `id:<cluster> d²=<distance>` for each point by id.
 
-    Lines are ordered by ranges and written by one task for each file, as the format is one file.
+    Lines are ordered by ranges; the parts in name order are the report.
     """
     spark = assigned.sparkSession
     head = [";".join(options or {}), ";".join(map(str, (options or {}).values())), "centroids"] + [" ".join([*map(repr, c.tolist()), repr(float(w))]) for c, w in zip(found.centres, found.weights)] + ["assignments"]
     top = spark.createDataFrame([(-len(head) + k, x) for k, x in enumerate(head)], "point_id long, value string")
     body = assigned.select("point_id", F.concat(F.lit("id:"), F.col("cluster_id"), F.lit(" d²="), F.col("dist")).alias("value"))
-    top.union(body).repartition(1).sortWithinPartitions("point_id").select("value").write.mode("append" if append else "overwrite").text(path)
+    top.union(body).orderBy("point_id").select("value").write.mode("append" if append else "overwrite").text(path)
 
 
 def positional_join(points: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -4,12 +4,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..operators.positions import over_neighbours, with_position
+
+
+def _ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """`file, value, pos`: all lines with their place over the files in name order. Large files are read in parts."""
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    return with_position(raw, ["file", "block", "at"]).drop("block", "at")
+
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """`file, line_no, value` in file order, blank lines kept. Files are read whole, a row each."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    body = F.regexp_replace("value", "\r?\n\\z", "")
-    return whole.select("file", F.posexplode(F.split(body, "\r?\n")).alias("line_no", "value")).where("value is not null")
+    """`file, line_no, value` in file order, blank lines kept."""
+    lines = _ordered_lines(spark, path)
+    first = lines.groupBy("file").agg(F.min("pos").alias("first"))
+    return lines.join(first, "file").select("file", (F.col("pos") - F.col("first")).alias("line_no"), "value")
 
 
 def point_file(spark: SparkSession, path: str) -> DataFrame:
@@ -19,33 +27,30 @@ def point_file(spark: SparkSession, path: str) -> DataFrame:
     first = F.min(F.struct("line_no", F.size("coords").alias("d")))
     dims = coords.groupBy("file").agg(first.alias("first")).select("file", F.col("first.d").alias("d"))
     wrong = F.concat(F.lit("line "), F.col("line_no") + 1, F.lit(" has "), F.size("coords"), F.lit(" numbers, not "), F.col("d"))
-    checked = coords.join(F.broadcast(dims) if _one_file(lines) else dims, "file").withColumn("coords", F.when(F.size("coords") == F.col("d"), F.col("coords")).otherwise(F.raise_error(wrong).cast("array<float>")))
+    checked = coords.join(dims, "file").withColumn("coords", F.when(F.size("coords") == F.col("d"), F.col("coords")).otherwise(F.raise_error(wrong).cast("array<float>")))
     return checked.select(F.col("line_no").cast("long").alias("point_id"), "coords", F.lit(1.0).alias("weight"))
 
 
-def _one_file(lines: DataFrame) -> bool:
-    return len(lines.inputFiles()) <= 10_000
-
-
 def int_file(spark: SparkSession, path: str) -> DataFrame:
     """`pos, v`: integers between any white space, up to the first part that is none."""
-    parts = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", r"\s+"), lambda w: w != "")).alias("pos", "w"))
-    parts = parts.select(F.col("pos").cast("long").alias("pos"), F.expr("try_cast(w as int)").alias("v"))
+    parts = _ordered_lines(spark, path).select("pos", F.posexplode(F.filter(F.split("value", r"\s+"), lambda w: w != "")).alias("nth", "w"))
+    parts = with_position(parts.withColumnRenamed("pos", "line"), ["line", "nth"]).select("pos", F.expr("try_cast(w as int)").alias("v"))
     stop = parts.where("v is null").agg(F.min("pos").alias("stop"))
-    return parts.join(F.broadcast(stop), F.lit(True), "left").where("stop is null or pos < stop").select("pos", "v")
+    return parts.join(F.broadcast(stop), F.lit(True)).where("stop is null or pos < stop").select("pos", "v")
 
 
 def report_blocks(spark: SparkSession, path: str) -> DataFrame:
     """`trial, point_id, cluster_id, dist` from a cluster report: consecutive `id:` lines are a block, one for each trial."""
-    lines = text_lines(spark, path)
-    row = lines.withColumn("is_row", F.col("value").startswith("id:"))
-    # a report is one file of a driver's making; its lines are numbered within the file
-    order = W.partitionBy("file").orderBy("line_no")
-    starts = row.withColumn("new", (F.col("is_row") & ~F.coalesce(F.lag("is_row").over(order), F.lit(False))).cast("int"))
-    blocks = starts.withColumn("trial", F.sum("new").over(order) - 1).where("is_row")
-    place = F.row_number().over(W.partitionBy("file", "trial").orderBy("line_no")) - 1
+    lines = _ordered_lines(spark, path).select("pos", "value")
+    is_row = F.col("value").startswith("id:")
+    near = over_neighbours(lines, "pos", 1, 0, {"before": lambda w: F.lag("value").over(w)})
+    starts = near.where(is_row & ~F.coalesce(F.col("before").startswith("id:"), F.lit(False))).select(F.col("pos").alias("start"))
+    # one row for each trial from here on
+    order = W.orderBy("start")
+    starts = starts.select((F.row_number().over(order) - 1).alias("trial"), "start", F.lead("start").over(order).alias("next"))
+    rows = lines.where(is_row).join(F.broadcast(starts), (F.col("pos") >= F.col("start")) & (F.col("next").isNull() | (F.col("pos") < F.col("next"))))
     pattern = r"id:(-?\d+) d²=(\S+)"
-    return blocks.select(F.col("trial").cast("int"), place.cast("long").alias("point_id"), F.regexp_extract("value", pattern, 1).cast("int").alias("cluster_id"), F.regexp_extract("value", pattern, 2).cast("double").alias("dist"))
+    return rows.select(F.col("trial").cast("int"), (F.col("pos") - F.col("start")).alias("point_id"), F.regexp_extract("value", pattern, 1).cast("int").alias("cluster_id"), F.regexp_extract("value", pattern, 2).cast("double").alias("dist"))
 
 
 def element_stream(spark: SparkSession, **options) -> DataFrame:
