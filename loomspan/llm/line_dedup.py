@@ -29,33 +29,42 @@ LEAST = 5
 SHORT, LONG, LEADING = 8, 40, 2
 _SPACE = r"[ \t\x0B\f\r]"
 _FIELD = r"(?<![^ \t\x0B\f\r])[^ \t\x0B\f\r0-9]*+[0-9][^ \t\x0B\f\r]*+"
+#: What lines have that are not yet their tokens joined by one space, with fields masked, besides spaces in a row or at an end.
+_ROUGH = r"[0-9\t\x0B\f\r]"
 
 
-def _leaves(line: Column) -> Column:
-    """The hashes of the leaves that a line reaches; none for a blank line."""
-    masked = F.regexp_replace(line, _FIELD, "<*>")
-    return F.filter(F.split(masked, f"{_SPACE}+"), lambda x: x != "").alias("tokens")
+def _masked(line: Column) -> Column:
+    """The tokens of a line joined by one space, those with a digit masked. Most lines are that already: one search tells."""
+    clean = F.trim(F.regexp_replace(F.regexp_replace(line, _FIELD, "<*>"), f"{_SPACE}+", " "))
+    rough = F.rlike(line, F.lit(_ROUGH)) | F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    return F.when(rough, clean).otherwise(line)
 
 
 def _keys() -> Column:
-    n = F.size("tokens")
-    joined = lambda start, count: F.concat_ws(" ", F.slice("tokens", start, count))
-    keys = [F.when(n > 0, F.xxhash64(F.lit(-1), n, F.concat_ws(" ", "tokens")))]
+    """The hashes of the leaves that a line with columns `line` (masked) and `n` (tokens) reaches; null where there is none.
+
+    Parts of a line are cut out by counting spaces, so that no array of tokens is made.
+    """
+    line, n = F.col("line"), F.col("n")
+    whole = F.when(n > 0, F.xxhash64(F.lit(-1), n, line))
+    keys = [whole]
     for k in range(4):
         a = F.greatest(F.lit(LEADING), F.floor(n * k / 4).cast("int"))
         b = F.floor(n * (k + 1) / 4).cast("int")
-        some = (n >= SHORT) & (n <= LONG) & (b > a)
-        keys.append(F.when(some, F.xxhash64(F.lit(k), n, joined(F.lit(1), a), joined(b + 1, n - b))))
-    return F.array_compact(F.array(*keys))
+        head, tail = F.call_function("substring_index", line, F.lit(" "), a), F.call_function("substring_index", line, F.lit(" "), b - n)
+        keys.append(F.when(b > a, F.xxhash64(F.lit(k), n, head, F.when(b < n, tail).otherwise(F.lit("")))))
+    return F.when((n >= SHORT) & (n <= LONG), F.array(*keys)).otherwise(F.array(whole))
 
 
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """`id, text_hash, gone array<int>`: places (from 0) of the lines to drop, of documents that lose any."""
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id is not null and t is not null")
-    lines = named.select("id", F.xxhash64("t").alias("th"), F.posexplode(F.split("t", "\n")).alias("pos", "line"))
-    lines = lines.select("id", "th", "pos", _leaves(F.col("line"))).select("id", "th", "pos", _keys().alias("keys")).where(F.size("keys") > 0)
-    lines = written(lines, "lines")
-    leaves = lines.select("id", "th", "pos", F.explode("keys").alias("key"))
+    lines = named.select("id", F.xxhash64("t").alias("th"), "t").select("id", "th", F.posexplode(F.split("t", "\n")).alias("pos", "line"))
+    lines = lines.select("id", "th", "pos", _masked(F.col("line")).alias("line"))
+    spaces = F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(" "), F.lit("")))
+    lines = lines.withColumn("n", F.when(F.col("line") == "", 0).otherwise(spaces + 1))
+    lines = written(lines.select("id", "th", "pos", _keys().alias("keys")), "lines")
+    leaves = lines.select("id", "th", "pos", F.explode("keys").alias("key")).where("key is not null")
     often = written(leaves.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("key"), "often")
     reached = written(leaves.join(often, "key"), "reached")
     drop(lines, often)
