@@ -109,7 +109,7 @@ SORT_OPTIONS = {"threads": "int", "threshold": "int", "input": "string", "ratio"
 def sort_experiment(spark: SparkSession, options: dict[str, list]) -> DataFrame:
     """`input, threads, threshold, size, chrono`: sorts each input for each setting.
 
-    `threads` sets the number of ranges; thresholds are of the reference's recursion and change
+    `threads` sets the number of ranges; thresholds (where a recursion would go on alone) change
     nothing here but the row's label.
     """
     from ..sources.files import int_file
