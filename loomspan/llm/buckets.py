@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ._runs import runs
 from ..scratch import drop, written
-from .components import connected_components
+from .components import Joined, connected_components
 
 #: Members of a block, and steps towards the last centre before the rest is compared in blocks.
 BLOCK, DOUBLINGS = 128, 3
@@ -46,7 +46,7 @@ def _alike(like: Likeness):
 
 
 def _blockwise(like: Likeness):
-    """From bucket members dealt to pairs of blocks: for each one outside the bucket's main group (side 0) its best partner in each other group."""
+    """From bucket members dealt to pairs of blocks: pairs that join the groups of those outside the main one (side 0) with others, as few as do so."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in runs(batches, ["bkey", "x", "y"]):
@@ -55,7 +55,7 @@ def _blockwise(like: Likeness):
             if not len(left) or not len(right):
                 continue
             ids, comp, sig = run.column("id").to_numpy(), run.column("comp").to_numpy(), like.rows(run.column("sig"))
-            found_a, found_b = [], []
+            joined, found = Joined(), []
             for i in left.tolist():
                 other = right[comp[right] != comp[i]]
                 score = like.score(sig[other], sig[i])
@@ -63,10 +63,9 @@ def _blockwise(like: Likeness):
                 if len(o):
                     order = np.lexsort((-score, comp[o]))
                     best = order[np.unique(comp[o][order], return_index=True)[1]]
-                    found_a.append(np.full(len(best), ids[i]))
-                    found_b.append(ids[o[best]])
-            if found_a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], ["a", "b"])
+                    found += [(ids[i], ids[j]) for j in o[best].tolist() if joined.join(int(comp[i]), int(comp[j]))]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return keep
 
@@ -77,7 +76,7 @@ def coarse_groups(rows: DataFrame, sigs: DataFrame, like: Likeness) -> tuple[Dat
     Two rows of a bucket whose payloads are alike end in the same group, for all of them: each row
     is compared with a centre (the member of its buckets that shares most rows with others, `w`);
     then, in buckets that still hold several groups, rows outside the main group with all others,
-    block against block. Only one pair for a row and other group comes out of a block.
+    block against block. A pair of blocks gives fewer pairs than it has groups.
     """
     shared = rows.groupBy("bkey").agg(F.count("*").alias("m")).where("m > 1")
     buckets = written(rows.join(shared, "bkey"), "buckets")

@@ -6,6 +6,24 @@ from pyspark.sql import functions as F
 from ..scratch import drop, written
 
 
+class Joined:
+    """Groups that are joined one by one, for the few members of a block."""
+
+    def __init__(self) -> None:
+        self.over: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (up := self.over.get(x, x)) != x:
+            self.over[x] = x = self.over.get(up, up)
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether they were apart."""
+        a, b = self.root(a), self.root(b)
+        self.over[max(a, b)] = min(a, b)
+        return a != b
+
+
 def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """`node, component`: for each node of `edges (a, b)` the smallest node that it reaches.
 

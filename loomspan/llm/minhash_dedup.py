@@ -26,7 +26,7 @@ from ._runs import runs
 from ..scratch import drop, written
 from ._words import BYTE, BYTE_LOWER, U, bounds, hashes, mix, slices, windows
 from .buckets import BLOCK, Likeness, at, coarse_groups, every
-from .components import connected_components
+from .components import Joined, connected_components
 
 #: Minima of a signature, and minima of a band. A pair of similarity 0.8 misses all 32 bands once in 300,000 times.
 MINIMA, ROWS = 160, 5
@@ -131,7 +131,7 @@ def _confirming(percent: int, least: int):
             ids, fine, n = (run.column(c).to_numpy() for c in ("id", "fine", "n"))
             sig, grams = _matrix(run.column("sig")), run.column("grams")
             sets = [np.asarray(grams[i].values).view(U) for i in range(run.num_rows)]
-            a, b = [], []
+            a, b, joined = [], [], Joined()
             for i in left.tolist():
                 may = (fine[right] != fine[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))
                 # a pair of unconfirmed members is met twice, as (i, j) and (j, i): once is enough
@@ -139,10 +139,14 @@ def _confirming(percent: int, least: int):
                 o = right[may]
                 o = o[(sig[o] == sig[i]).sum(1) >= least] if len(o) else o
                 for j in o.tolist():
+                    # what links of this block already join need not be compared
+                    if joined.root(int(fine[i])) == joined.root(int(fine[j])):
+                        continue
                     s, t = (sets[i], sets[j]) if len(sets[i]) <= len(sets[j]) else (sets[j], sets[i])
                     place = np.searchsorted(t, s)
                     both = int((t[np.minimum(place, len(t) - 1)] == s).sum())
                     if 100 * both >= percent * (len(s) + len(t) - both):
+                        joined.join(int(fine[i]), int(fine[j]))
                         a.append(ids[i])
                         b.append(ids[j])
             if a:
