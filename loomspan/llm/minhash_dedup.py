@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._batches import bounded_batches
 from ._runs import runs
 from ..scratch import drop, written
 from ._words import BYTE, BYTE_LOWER, U, bounds, hashes, mix, slices, windows
@@ -163,6 +164,7 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     that it is its own. Texts are read whole and no group is capped. Intermediate tables go to the
     shared folder; the function runs jobs and returns a frame over those tables.
     """
+    bounded_batches(docs.sparkSession)
     read = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
     signed = written(read.mapInArrow(_signing(id_col, text_col, shingle, lower), "id long, n long, d1 long, d2 long, sig binary"), "signed")
     least = max(1, round(MINIMA * (percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / MINIMA) ** 0.5)))

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._batches import bounded_batches
 from ._words import U, bounds, hashes, mix, slices, windows
 
 #: Bounds of the labelled sample that is collected, of the rows a tree sees, and of trees.
@@ -212,6 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """One row per row of `docs`: `id_col`, the COUNTS, `base_failed`, `anomaly` and `kept`."""
+    bounded_batches(docs.sparkSession)
     forest, edge = fit(docs, labels, id_col, text_col, **settings)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,6 +233,7 @@ def _judge(c: dict[str, np.ndarray], forest: dict | None, edge: float) -> tuple[
 
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The rows of `docs` that the rules keep, with all their columns."""
+    bounded_batches(docs.sparkSession)
     forest, edge = fit(docs, labels, id_col, text_col, **settings)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,13 +31,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._batches import bounded_batches
 from ._runs import runs
 from ..scratch import drop, written
 from ._words import U, bounds, hashes, mix, slices, texts, windows
 
 #: Bytes of text of a slice, and windows of a hash range, about; both grow with the root of the input up to GROWN times,
 #: so that what a slice sends to a range stays worth a row.
-SLICE_BYTES, RANGE_KEYS, GROWN = 4 << 20, 2 << 20, 8
+SLICE_BYTES, RANGE_KEYS, GROWN = 3 << 20, 1 << 20, 8
 _PACK = 16 << 20
 
 
@@ -250,13 +251,13 @@ def _removing(size: int, id_col: str, text_col: str):
             lost = np.concatenate([[0], np.cumsum(removed)])
             lost = lost[s.at[1:]] - lost[s.at[:-1]]
             body = s.data.tobytes()
-            starts, ends, drop_word = s.starts.tolist(), s.ends.tolist(), removed.tolist()
             kept = []
             for a, b, k in zip(s.at[:-1].tolist(), s.at[1:].tolist(), lost.tolist()):
                 if not k:
-                    kept.append(b" ".join(body[starts[a] : ends[b - 1]].split()) if b > a else b"")
+                    kept.append(b" ".join(body[s.starts[a] : s.ends[b - 1]].split()) if b > a else b"")
                 else:
-                    kept.append(b" ".join([body[starts[i] : ends[i]] for i in range(a, b) if not drop_word[i]]))
+                    stay = a + np.flatnonzero(~removed[a:b])
+                    kept.append(b" ".join([body[x:y] for x, y in zip(s.starts[stay].tolist(), s.ends[stay].tolist())]))
             sums = [zlib.crc32(body[a:b]) for a, b in zip(s.offsets[:-1].tolist(), s.offsets[1:].tolist())]
             yield pa.RecordBatch.from_arrays([pa.array(s.ids), pa.array(s.count), pa.array(lost), pa.array([x.decode() for x in kept], pa.string()), pa.array(sums, pa.int64())], [id_col, "n_words", "n_removed", "kept_text", "text_crc32"])
 
@@ -279,6 +280,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Runs jobs that write tables to the shared folder; the last pass is left to the caller.
     """
+    bounded_batches(docs.sparkSession)
     read = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
     total = read.agg(F.sum(F.octet_length(text_col))).first()
     size_of_all = int(total[0] or 0)
