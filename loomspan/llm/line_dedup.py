@@ -1,9 +1,10 @@
 """Lines from recurring templates, dropped from all documents but the first. DataFrame functions only.
 
 A line's place in the template tree: its number of tokens, its leading tokens, then the rest with
-its variable fields generalised. A token with a digit is a field anywhere; in lines of 8 to 40
-tokens one quarter of the tokens (never the two leading ones) may be a field as well, so a line
-has up to five leaves. A leaf that lines of `least` or more different texts reach is a recurring
+its variable fields generalised. A token with a digit is a field anywhere, as long as at least
+half of the line's tokens stay and have a letter; a line with more numbers than that is data, and
+only equal lines are its template. In lines of 8 to 40 tokens one quarter of the tokens (never the
+two leading ones) may be a field as well, so a line has up to five leaves. A leaf that lines of `least` or more different texts reach is a recurring
 template; its lines go, but for those of the text whose smallest id is least, so that nothing is
 lost from the corpus and copies of that text stay copies.
 
@@ -31,11 +32,23 @@ _SPACE = r"[ \t\x0B\f\r]"
 _FIELD = r"(?<![^ \t\x0B\f\r])[^ \t\x0B\f\r0-9]*+[0-9][^ \t\x0B\f\r]*+"
 #: What lines have that are not yet their tokens joined by one space, with fields masked, besides spaces in a row or at an end.
 _ROUGH = r"[0-9\t\x0B\f\r]"
+#: A token with a letter; masked fields have none.
+_WORD = r"(?<![^ ])[^ \p{L}]*+\p{L}[^ ]*+"
+
+
+def _tokens(line: Column) -> Column:
+    return F.when(line == "", 0).otherwise(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
+
+
+def _worded(line: Column, n: Column) -> Column:
+    return 2 * F.regexp_count(line, F.lit(_WORD)) >= n
 
 
 def _masked(line: Column) -> Column:
-    """The tokens of a line joined by one space, those with a digit masked. Most lines are that already: one search tells."""
-    clean = F.trim(F.regexp_replace(F.regexp_replace(line, _FIELD, "<*>"), f"{_SPACE}+", " "))
+    """The tokens of a line joined by one space, those with a digit masked if half of the tokens are words then. Most lines are that already: one search tells."""
+    plain = F.trim(F.regexp_replace(line, f"{_SPACE}+", " "))
+    masked = F.regexp_replace(plain, _FIELD, "<*>")
+    clean = F.when(_worded(masked, _tokens(masked)), masked).otherwise(plain)
     rough = F.rlike(line, F.lit(_ROUGH)) | F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
     return F.when(rough, clean).otherwise(line)
 
@@ -52,8 +65,11 @@ def _keys() -> Column:
         a = F.greatest(F.lit(LEADING), F.floor(n * k / 4).cast("int"))
         b = F.floor(n * (k + 1) / 4).cast("int")
         head, tail = F.call_function("substring_index", line, F.lit(" "), a), F.call_function("substring_index", line, F.lit(" "), b - n)
-        keys.append(F.when(b > a, F.xxhash64(F.lit(k), n, head, F.when(b < n, tail).otherwise(F.lit("")))))
-    return F.when((n >= SHORT) & (n <= LONG), F.array(*keys)).otherwise(F.array(whole))
+        rest = F.when(b < n, tail).otherwise(F.lit(""))
+        enough = ~F.contains(line, F.lit("<*>")) | _worded(F.concat_ws(" ", head, rest), n)
+        keys.append(F.when((b > a) & enough, F.xxhash64(F.lit(k), n, head, rest)))
+    data = F.rlike(line, F.lit("[0-9]"))
+    return F.when((n >= SHORT) & (n <= LONG) & ~data, F.array(*keys)).otherwise(F.array(whole))
 
 
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
@@ -61,8 +77,7 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id is not null and t is not null")
     lines = named.select("id", F.xxhash64("t").alias("th"), "t").select("id", "th", F.posexplode(F.split("t", "\n")).alias("pos", "line"))
     lines = lines.select("id", "th", "pos", _masked(F.col("line")).alias("line"))
-    spaces = F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(" "), F.lit("")))
-    lines = lines.withColumn("n", F.when(F.col("line") == "", 0).otherwise(spaces + 1))
+    lines = lines.withColumn("n", _tokens(F.col("line")))
     lines = written(lines.select("id", "th", "pos", _keys().alias("keys")), "lines")
     leaves = lines.select("id", "th", "pos", F.explode("keys").alias("key")).where("key is not null")
     often = written(leaves.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("key"), "often")

@@ -42,6 +42,13 @@ def test_lines(spark):
     assert line_dedup.line_digests(df.limit(0)).collect() == []
 
 
+def test_rows_of_numbers_stay(spark):
+    data = ["{k}.5 1{k} 7", "1{k} | 2{k} | 3{k}", "{k} 2 3 4 5 6 7 8 9", "x{k} 1 2 3", "2024 {k} on 1 2 3 4 5 6 7"]
+    rows = [(k, "\n".join([*(x.format(k=k) for x in data), "0 0 0", f"Page {k} of {k + 9} in total"])) for k in range(6)]
+    got = {r[0]: r[1].split("\n") for r in line_dedup.drop_templates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: [*(x.format(k=k) for x in data), *(["0 0 0", "Page 0 of 9 in total"] if k == 0 else [])] for k in range(6)}
+
+
 def test_urls(spark):
     day = datetime.date
     entries = [("domain", "A.b", "block", day(2024, 1, 5)), ("domain", "a.b", "lift", day(2024, 1, 9)), ("host", "x.a.b", "allow", day(2024, 1, 7)), ("path", "x.a.b/p/q", "block", day(2024, 1, 1)), ("host", "h", "allow", day(2024, 1, 1)), ("host", "h", "block", day(2024, 1, 1)), ("host", "h", "block", day(2024, 1, 1)), (None, "a", "block", day(2024, 1, 1)), ("host", "a", "nonsense", day(2024, 1, 1))]
