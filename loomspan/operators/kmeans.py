@@ -7,6 +7,7 @@ the current centres, never an earlier round's result, so the lineage stays flat.
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import count as counted
 
 import numpy as np
 import pyarrow as pa
@@ -86,7 +87,9 @@ def _sums(df: DataFrame, dim: int, k: int, centres: np.ndarray | None, moved: di
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(k)), pa.array(list(out), pa.list_(pa.float64()))], ["c", "s"])
 
     made = df.mapInArrow(run, "c long, s array<double>")
-    total = made.select("c", F.posexplode("s").alias("j", "v")).groupBy("c", "j").agg(F.sum("v").alias("v")).collect()  # k * (D + 4) rows
+    # in an order of their own, so that equal centres give equal sums; k * (D + 4) rows
+    added = F.aggregate(F.array_sort(F.collect_list("v")), F.lit(0.0), lambda a, v: a + v)
+    total = made.select("c", F.posexplode("s").alias("j", "v")).groupBy("c", "j").agg(added.alias("v")).collect()
     out = np.zeros((k, dim + 4))
     for r in total:
         out[r["c"], r["j"]] = r["v"]
@@ -113,9 +116,11 @@ def _repair(df: DataFrame, k: int, counts: np.ndarray, centres: np.ndarray | Non
     return moved | new
 
 
-def kmeans(df: DataFrame, k: int, start: Column, max_iter: int = 100, tolerance: float | None = None, keep: bool = True) -> Clustering | None:
+def kmeans(df: DataFrame, k: int, start: Column, max_iter: int | None = None, tolerance: float | None = None, keep: bool = True) -> Clustering | None:
     """Rounds of centres and assignment from an initial assignment, until no assignment changes.
 
+    There is no other end unless `max_iter` is given, but for centres that an earlier round had: repairs
+    can go round in a circle. `converged` is false for both.
     With a tolerance it stops as soon as (previous - current) / current inertia is not above it;
     the returned centres are then those that made the last assignment. Points whose cluster was
     empty are repaired as `_repair` says; None if that can't be done. `df` is as from `points`.
@@ -127,13 +132,15 @@ def kmeans(df: DataFrame, k: int, start: Column, max_iter: int = 100, tolerance:
         first = df.select(F.size("coords").alias("d")).first()
         if first is None:
             return None
-        dim, centres, moved, old, inertias = first["d"], None, {}, None, []
-        for turn in range(1, max_iter + 2):
+        dim, centres, moved, old, inertias, seen = first["d"], None, {}, None, [], set()
+        for turn in counted(1) if max_iter is None else range(1, max_iter + 2):
             sums, weights, counts, changed, inertia = _sums(df, dim, k, centres, moved, old)
             if centres is not None:
                 inertias.append(inertia)
                 done = changed == 0 if tolerance is None else len(inertias) > 1 and (inertias[-2] - inertia) <= tolerance * inertia
-                if done or turn > max_iter:
+                again = centres.tobytes() in seen
+                seen.add(centres.tobytes())
+                if done or again or (max_iter is not None and turn > max_iter):
                     return Clustering(centres, weights, turn - 1, done, inertia, moved, inertias)
             if (counts == 0).any():
                 fixed = _repair(df, k, counts, centres, moved)

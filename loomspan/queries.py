@@ -324,6 +324,12 @@ def _clustered(points, found):
     return kmeans.assign(points, found.centres, found.moved).withColumn("dist", F.round("dist", 6))
 
 
+def _converged(points, found):
+    if not found.converged:
+        raise ValueError(f"k-means has not converged after {found.rounds} rounds")
+    return _clustered(points, found)
+
+
 @query(f"WITH {_rounds(3)} SELECT point_id, cluster_id, round(dist, 6) AS dist FROM a3")
 def kmeans_roundrobin_3iter(spark, sf_dir):
     points = _points(spark, sf_dir)
@@ -337,7 +343,7 @@ _UNROLLED = 40
 @query(f"WITH {_rounds(_UNROLLED)} SELECT point_id, cluster_id, round(dist, 6) AS dist FROM a{_UNROLLED}")
 def kmeans_converged(spark, sf_dir):
     points = _points(spark, sf_dir)
-    return _clustered(points, kmeans.kmeans(points, K, kmeans.round_robin(K)))
+    return _converged(points, kmeans.kmeans(points, K, kmeans.round_robin(K)))
 
 
 def _tolerance_sql() -> str:
@@ -366,6 +372,14 @@ def kmeans_trials(spark, sf_dir):
     return made[0].union(made[1]) if len(made) == 2 else made[0]
 
 
+@query()
+def kmeans_trials_converged(spark, sf_dir):
+    """kmeans_trials, whose SQL unrolls three rounds, until no assignment changes."""
+    points = _points(spark, sf_dir)
+    made = [_converged(points, c).withColumn("trial", F.lit(t)) for t, c in kmeans.trials(points, K, 2)]
+    return made[0].union(made[1]) if len(made) == 2 else made[0]
+
+
 @query(f"WITH {_rounds(3)} SELECT point_id, 0 AS trial, cluster_id, round(dist, 6) AS dist, round(v[1], 6) AS first_coord FROM a3 JOIN x USING (point_id)")
 def cluster_report_join(spark, sf_dir):
     points = _points(spark, sf_dir)

@@ -4,6 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from loomspan import queries
 from loomspan.functions import text, vectors
 from loomspan.operators import divide, grid, kmeans, mapreduce, positions, sorting, windows
 from loomspan.plans import params
@@ -202,6 +203,46 @@ def test_trials(spark):
     assert [t for t, _ in made] == [0, 1, 2] and all(c.converged for _, c in made)
 
 
+def lloyd(x, a, k):
+    """Assignments by brute force until none changes, and the rounds."""
+    for turn in range(1, 100_000):
+        centres = np.array([x[a == c].mean(0) for c in range(k)])
+        new = ((x[:, None] - centres) ** 2).sum(2).argmin(1)
+        if (new == a).all():
+            return a, turn
+        a = new
+
+
+def test_kmeans_has_no_cap(spark):
+    k, x = 10, np.arange(400, dtype=float)[:, None]
+    want, turns = lloyd(x, np.minimum(np.arange(400) // 2, k - 1), k)
+    start = F.least((F.col("point_id") / 2).cast("int"), F.lit(k - 1))
+    points = kmeans.points(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").coalesce(1), "id", "v")
+    found = kmeans.kmeans(points, k, start)
+    assert turns > 101 and found.converged and found.rounds == turns
+    assert [r["cluster_id"] for r in kmeans.assign(points, found.centres).orderBy("point_id").collect()] == want.tolist()
+    capped = kmeans.kmeans(points, k, start, max_iter=2)
+    assert not capped.converged and capped.rounds == 2
+
+
+def test_kmeans_in_a_circle(spark):
+    df = spark.createDataFrame([(i, [v]) for i, v in enumerate([0.0, 0.0, 0.0, 5.0])], "id long, v array<double>")
+    found = kmeans.kmeans(kmeans.points(df, "id", "v"), 3, kmeans.round_robin(3))
+    assert not found.converged and found.rounds < 10
+
+
+def test_trials_until_nothing_changes(spark, sf):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").where("embedding is not null").orderBy("vec_id").collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    got = {(r["trial"], r["point_id"]): r["cluster_id"] for r in queries.kmeans_trials_converged(spark, sf).collect()}
+    want = {}
+    for t in range(2):
+        a, turns = lloyd(x, ((ids * 1103515245 + 12345 * (t + 1) & (1 << 31) - 1) >> 8) % queries.K, queries.K)
+        assert turns > 4
+        want |= {(t, i): c for i, c in zip(ids.tolist(), a.tolist())}
+    assert got == want
+
+
 # grids
 
 
