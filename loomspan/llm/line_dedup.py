@@ -4,7 +4,11 @@ A line's place in the template tree: its number of tokens, its leading tokens, t
 its variable fields generalised. A token with a digit is a field anywhere, as long as at least
 half of the line's tokens stay and have a letter; a line with more numbers than that is data, and
 only equal lines are its template. In lines of 8 to 40 tokens one quarter of the tokens (never the
-two leading ones) may be a field as well, so a line has up to five leaves. A leaf that lines of `least` or more different texts reach is a recurring
+two leading ones) may be a field as well, so a line has up to five leaves. In lines of any length
+fields may stand anywhere behind the two leading tokens: among the texts that share a node (number
+of tokens, leading tokens), a token that fewer than `least` of them, or fewer than a given part of
+them, have at its place is a field; more than half of the tokens, and one behind
+the leading ones, must stay and have a letter. A leaf that lines of `least` or more different texts reach is a recurring
 template; its lines go, but for those of the text whose smallest id is least, so that nothing is
 lost from the corpus and copies of that text stay copies.
 
@@ -28,6 +32,8 @@ from ..scratch import drop, written
 LEAST = 5
 #: Lines of so many tokens may have a field besides tokens with digits; leading tokens that are never a field.
 SHORT, LONG, LEADING = 8, 40, 2
+#: Parts of a node's texts that must have a token at its place for it to stay, besides `least` texts.
+PARTS = (0, 1 / 16, 1 / 8, 1 / 4, 1 / 2)
 _SPACE = r"[ \t\x0B\f\r]"
 _FIELD = r"(?<![^ \t\x0B\f\r])[^ \t\x0B\f\r0-9]*+[0-9][^ \t\x0B\f\r]*+"
 #: What lines have that are not yet their tokens joined by one space, with fields masked, besides spaces in a row or at an end.
@@ -72,23 +78,58 @@ def _keys() -> Column:
     return F.when((n >= SHORT) & (n <= LONG) & ~data, F.array(*keys)).otherwise(F.array(whole))
 
 
+def _node() -> Column:
+    """The hash of a line's number of tokens and leading tokens; null where nothing is behind those, and for rows of numbers."""
+    line, n = F.col("line"), F.col("n")
+    return F.when((n > LEADING) & ~F.rlike(line, F.lit("[0-9]")), F.xxhash64(F.lit(-2), n, F.substring_index(line, " ", LEADING)))
+
+
+def _wide_leaves(wide: DataFrame, least: int) -> DataFrame:
+    """`th, pos, key, id`: leaves with fields at any places behind the leading tokens, and the least id of the text."""
+    tokens = wide.select("th", "pos", "node", F.posexplode(F.split("line", " ")).alias("j", "w")).where((F.col("j") >= LEADING) & (F.col("w") != "<*>"))
+    tokens = tokens.select("th", "pos", F.xxhash64("node", "j", "w").alias("h"), F.rlike("w", F.lit(r"\p{L}")).alias("word"))
+    frequent = tokens.select("h", "th").distinct().groupBy("h").agg(F.count("*").alias("f")).where(F.col("f") >= least)
+    frequent = written(frequent, "frequent")
+    # what holds for a line as a whole comes in one row, so that the rows of its tokens are narrow
+    lead = F.regexp_count(F.substring_index("line", " ", LEADING), F.lit(_WORD))
+    own = wide.select("th", "pos", F.struct("node", "n", "texts", lead.alias("lead"), "id").alias("own"))
+    found = tokens.join(frequent, "h").select("th", "pos", F.struct("h", "f", "word").alias("token"))
+    held = own.unionByName(found, allowMissingColumns=True).groupBy("th", "pos").agg(F.min("own").alias("own"), F.collect_set("token").alias("held"))
+    held = held.select("th", "pos", "own.*", "held")
+    keys = []
+    for part in PARTS:
+        enough = F.col("texts") * part
+        stay = F.filter("held", lambda x: x["f"] >= enough)
+        words = F.size(F.filter(stay, lambda x: x["word"]))
+        keys.append(F.when((words > 0) & (2 * (F.col("lead") + words) > F.col("n")), F.xxhash64(F.lit(-3), "node", F.array_sort(F.transform(stay, lambda x: x["h"])))))
+    return held.select("th", "pos", "id", F.explode(F.array_distinct(F.array(*keys))).alias("key")).where("key is not null")
+
+
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """`id, text_hash, gone array<int>`: places (from 0) of the lines to drop, of documents that lose any."""
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id is not null and t is not null")
     lines = named.select("id", F.xxhash64("t").alias("th"), "t").select("id", "th", F.posexplode(F.split("t", "\n")).alias("pos", "line"))
     lines = lines.select("id", "th", "pos", _masked(F.col("line")).alias("line"))
     lines = lines.withColumn("n", _tokens(F.col("line")))
-    lines = written(lines.select("id", "th", "pos", _keys().alias("keys")), "lines")
+    node = _node()
+    lines = written(lines.select("id", "th", "pos", _keys().alias("keys"), "n", node.alias("node"), F.when(node.isNotNull(), F.col("line")).alias("line")), "lines")
     leaves = lines.select("id", "th", "pos", F.explode("keys").alias("key")).where("key is not null")
     often = written(leaves.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("key"), "often")
     reached = written(leaves.join(often, "key"), "reached")
-    drop(lines, often)
-    texts = reached.groupBy("key", "th").agg(F.min("id").alias("id"))
+    noded = lines.where("node is not null")
+    nodes = noded.select("node", "th").distinct().groupBy("node").agg(F.count("*").alias("texts")).where(F.col("texts") >= least)
+    nodes = written(nodes, "nodes")
+    wide = written(noded.join(nodes, "node").select("id", "th", "pos", "node", "n", "texts", "line"), "wide")
+    drop(lines, often, nodes)
+    further = written(_wide_leaves(wide, least), "further")
+    texts = reached.select("key", "th", "id").union(further.select("key", "th", "id")).groupBy("key", "th").agg(F.min("id").alias("id"))
     first = F.min(F.struct("id", "th"))
     templates = written(texts.groupBy("key").agg(F.count("*").alias("n"), first.alias("first")).where(F.col("n") >= least).select("key", F.col("first.th").alias("own")), "templates")
-    gone = reached.join(templates, "key").where("th <> own").groupBy("id", "th").agg(F.collect_set("pos").alias("gone"))
+    places = further.join(templates, "key").where("th <> own").select("th", "pos").distinct()
+    places = wide.select("id", "th", "pos").join(places, ["th", "pos"]).select("id", "th", "pos")
+    gone = reached.join(templates, "key").where("th <> own").select("id", "th", "pos").union(places).groupBy("id", "th").agg(F.collect_set("pos").alias("gone"))
     gone = written(gone.select("id", F.col("th").alias("text_hash"), "gone"), "gone")
-    drop(reached, templates)
+    drop(reached, templates, wide, further)
     return gone
 
 

@@ -49,6 +49,18 @@ def test_rows_of_numbers_stay(spark):
     assert got == {k: [*(x.format(k=k) for x in data), *(["0 0 0", "Page 0 of 9 in total"] if k == 0 else [])] for k in range(6)}
 
 
+def test_fields_at_any_places(spark):
+    who, where = ["ann", "bob", "eve", "joe", "sue", "kim"], ["sports", "news", "arts", "food", "cars", "books"]
+    long = " ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(48))
+    forms = ["Posted by {a} in {b}", "Written for you with {a} and a lot of help by {b} too", long + " {a} and then {b}"]
+    rows = [(7 * i + j, "\n".join([f"{a} {b} own {a}{b}", *(x.format(a=a, b=b) for x in forms)])) for i, a in enumerate(who) for j, b in enumerate(where)]
+    docs = spark.createDataFrame(rows + [(90, rows[-1][1])], "doc_id long, text string")
+    got = {r[0]: r[1].split("\n") for r in line_dedup.drop_templates(docs).collect()}
+    assert got == {i: t.split("\n")[: None if i == 0 else 1] for i, t in rows} | {90: rows[-1][1].split("\n")[:1]}
+    few = docs.where("doc_id in (0, 8, 16, 24)")
+    assert sorted(map(tuple, line_dedup.drop_templates(few).collect())) == sorted(map(tuple, few.collect()))
+
+
 def test_urls(spark):
     day = datetime.date
     entries = [("domain", "A.b", "block", day(2024, 1, 5)), ("domain", "a.b", "lift", day(2024, 1, 9)), ("host", "x.a.b", "allow", day(2024, 1, 7)), ("path", "x.a.b/p/q", "block", day(2024, 1, 1)), ("host", "h", "allow", day(2024, 1, 1)), ("host", "h", "block", day(2024, 1, 1)), ("host", "h", "block", day(2024, 1, 1)), (None, "a", "block", day(2024, 1, 1)), ("host", "a", "nonsense", day(2024, 1, 1))]
