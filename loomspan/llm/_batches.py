@@ -1,14 +1,22 @@
 """How many rows a Python worker is given at once."""
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import SparkSession
 
-#: Texts of a few KB each: a batch of so many takes some MB on both sides.
+#: Texts of a few KB each: a batch of so many takes some MB on both sides. Spark bounds a batch by bytes as well.
 ROWS = 2000
 _SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batch size to ROWS if it is larger, as batches are held by executors and workers beside their own arrays."""
-    now = int(spark.conf.get(_SETTING))
-    if now <= 0 or now > ROWS:
+@contextmanager
+def bounded_batches(spark: SparkSession) -> Iterator[None]:
+    """The session's Arrow batch size is at most ROWS for the jobs that run inside, and as it was after them."""
+    before = spark.conf.get(_SETTING)
+    if not 0 < int(before) <= ROWS:
         spark.conf.set(_SETTING, str(ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(_SETTING, before)

@@ -11,18 +11,30 @@ from ._runs import runs
 from ..scratch import drop, written
 from .components import Joined, connected_components
 
-#: Members of a block, and steps towards the last centre before the rest is compared in blocks.
-BLOCK, DOUBLINGS = 128, 3
+#: Members of a block of a group of up to BASE members, and steps towards the last centre before the rest is compared in blocks.
+BLOCK, BASE, DOUBLINGS = 64, 1024, 3
 
 
 class Likeness:
-    """How two payloads are compared: bytes to a row of numbers, and a score that must reach `least`."""
+    """How two payloads are compared: bytes to a row of numbers, and a score that must reach `least`. Payloads of different lengths are not alike."""
 
     def __init__(self, kind: str, score: Callable[[np.ndarray, np.ndarray], np.ndarray], least: float) -> None:
         self.kind, self.score, self.least = kind, score, least
 
-    def rows(self, column: pa.Array) -> np.ndarray:
-        return np.frombuffer(b"".join(column.to_pylist()), self.kind).reshape(len(column), -1)
+    def rows(self, payloads: list[bytes]) -> np.ndarray:
+        """Payloads of one length as rows of numbers."""
+        return np.frombuffer(b"".join(payloads), self.kind).reshape(len(payloads), -1)
+
+
+def _by_length(size: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of equal sizes."""
+    for n in np.unique(size).tolist():
+        yield np.flatnonzero(size == n)
+
+
+def side(members: str):
+    """How many of a group's members make a block: more in larger groups, so that what is sent for m members grows as m to the power 1.5."""
+    return F.lit(BLOCK) * F.greatest(F.lit(1.0), F.sqrt(F.col(members) / BASE))
 
 
 def at(count: str):
@@ -38,9 +50,13 @@ def every(count: str):
 def _alike(like: Likeness):
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                score = like.score(like.rows(batch.column("siga")), like.rows(batch.column("sigb")))
-                yield batch.select(["a", "b"]).filter(pa.array(score >= like.least))
+            one, two = batch.column("siga").to_pylist(), batch.column("sigb").to_pylist()
+            size = np.array([len(x) if len(x) == len(y) else -1 for x, y in zip(one, two)])
+            alike = np.zeros(batch.num_rows, bool)
+            for mine in _by_length(size):
+                if size[mine[0]] >= 0:
+                    alike[mine] = like.score(*(like.rows([x[k] for k in mine.tolist()]) for x in (one, two))) >= like.least
+            yield batch.select(["a", "b"]).filter(pa.array(alike))
 
     return keep
 
@@ -50,20 +66,20 @@ def _blockwise(like: Likeness):
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in runs(batches, ["bkey", "x", "y"]):
-            side = run.column("side").to_numpy()
-            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            if not len(left) or not len(right):
-                continue
-            ids, comp, sig = run.column("id").to_numpy(), run.column("comp").to_numpy(), like.rows(run.column("sig"))
+            ids, comp, first = (run.column(c).to_numpy() for c in ("id", "comp", "side"))
             joined, found = Joined(), []
-            for i in left.tolist():
-                other = right[comp[right] != comp[i]]
-                score = like.score(sig[other], sig[i])
-                o, score = other[score >= like.least], score[score >= like.least]
-                if len(o):
-                    order = np.lexsort((-score, comp[o]))
-                    best = order[np.unique(comp[o][order], return_index=True)[1]]
-                    found += [(ids[i], ids[j]) for j in o[best].tolist() if joined.join(int(comp[i]), int(comp[j]))]
+            held = run.column("sig").to_pylist()
+            for mine in _by_length(np.array([len(x) for x in held])):
+                sig = like.rows([held[k] for k in mine.tolist()])
+                left, right = np.flatnonzero(first[mine] == 0), np.flatnonzero(first[mine] == 1)
+                for i in left.tolist():
+                    other = right[comp[mine[right]] != comp[mine[i]]]
+                    score = like.score(sig[other], sig[i])
+                    o, score = mine[other[score >= like.least]], score[score >= like.least]
+                    if len(o):
+                        order = np.lexsort((-score, comp[o]))
+                        best = order[np.unique(comp[o][order], return_index=True)[1]]
+                        found += [(ids[mine[i]], ids[j]) for j in o[best].tolist() if joined.join(int(comp[mine[i]]), int(comp[j]))]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
@@ -97,7 +113,7 @@ def coarse_groups(rows: DataFrame, sigs: DataFrame, like: Likeness) -> tuple[Dat
     major = held.groupBy("bkey").agg(F.max(F.struct("w", (-F.col("id")).alias("neg"), "comp")).alias("top")).select("bkey", F.col("top.comp").alias("major"))
     told = held.join(major, "bkey")
     split = told.where("comp <> major").groupBy("bkey").agg(F.count("*").alias("out"))
-    left = told.join(split, "bkey").join(sigs, "id").withColumn("nx", F.ceil(F.col("out") / BLOCK).cast("int")).withColumn("ny", F.ceil(F.col("m") / BLOCK).cast("int"))
+    left = told.join(split, "bkey").join(sigs, "id").withColumn("nx", F.ceil(F.col("out") / side("m")).cast("int")).withColumn("ny", F.ceil(F.col("m") / side("m")).cast("int"))
     cols = ["bkey", "x", "y", "side", "id", "comp", "sig"]
     ones = left.where("comp <> major").withColumn("side", F.lit(0)).withColumn("x", at("nx")).withColumn("y", every("ny"))
     others = left.withColumn("side", F.lit(1)).withColumn("y", at("ny")).withColumn("x", every("nx"))

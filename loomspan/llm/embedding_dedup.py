@@ -7,11 +7,15 @@ largest axis. Vectors that share a bucket and reach the cosine are brought into
 inside a group every pair is verified, block against block, and only counts and spanning links
 come out, so a large group makes no list of its pairs.
 
-Equal vectors with equal labels are one vector with a multiplicity. Shapes of input with a defined
-result: vectors that are null, zero, or hold null or non-finite components, and vectors with a
-null label, link with nothing; vectors of different lengths do not link; a null id is given back
-unlinked with a null component; rows that share an id are one node whose links are summed; other
-columns are ignored.
+Equal vectors with equal labels are one vector with a multiplicity. Three hashes make so many
+buckets that unlike vectors seldom share one, also among very many of them.
+
+Shapes of input with a defined result: vectors that are null, empty, zero, or hold null or
+non-finite components, and vectors with a null label, link with nothing; vectors of different
+lengths do not link; vectors of any length are worked on in runs of a bounded number of components;
+a null id is given back unlinked with a null component; rows that share an id are one node of the
+components, while each row counts its own links; repeated rows link with one another; an empty
+table gives no rows; other columns are ignored, whatever their names are.
 """
 
 from collections.abc import Iterator
@@ -24,13 +28,14 @@ from pyspark.sql import functions as F
 from ._runs import runs
 from ..scratch import drop, written
 from ._words import U, mix
-from .buckets import Likeness, at, coarse_groups
+from .buckets import Likeness, at, coarse_groups, every, side
 from .components import connected_components
 
-#: Tables, and hashes of a table; in 64 dimensions all pairs at a cosine of 0.98 or more were found on the test tables.
-TABLES, HASHES = 8, 2
-#: Vectors of a block.
-BLOCK = 256
+#: Tables, and hashes of a table. In 64 dimensions a pair at a cosine of 0.98 to 0.99 shares a bucket of one table with a probability of 0.95,
+#: so eight tables miss one in 10^10; all pairs of the test tables were found.
+TABLES, HASHES = 8, 3
+#: Components that are worked on at once.
+VALUES = 1 << 20
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -71,17 +76,24 @@ def bucket_keys(vectors: np.ndarray, salt: np.ndarray, tables: int = TABLES, has
     return np.stack(out, 1).view(np.int64)
 
 
-def _reading(width: int):
-    """Unit vectors as bytes (padded to `width`), or none if they can't link, with a digest of the values."""
+def _runs_of_length(size: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each length, and places of rows of that length, no more than VALUES components at once."""
+    for n in np.unique(size).tolist():
+        mine = np.flatnonzero(size == n)
+        step = max(1, VALUES // max(1, n))
+        for k in range(0, len(mine), step):
+            yield n, mine[k : k + step]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("v")
-            size = np.where(lists.is_null().to_numpy(zero_copy_only=False), 0, lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(float)
-            x = np.zeros((len(size), width))
-            row = np.repeat(np.arange(len(size)), size)
-            x[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = flat
+
+def _reading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Unit vectors as bytes, or none if they can't link, with a digest of the values."""
+    for batch in batches:
+        lists = batch.column("v")
+        sizes = np.where(lists.is_null().to_numpy(zero_copy_only=False), 0, lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
+        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(float)
+        start = np.cumsum(sizes) - sizes
+        for size, mine in _runs_of_length(sizes):
+            x = flat[start[mine][:, None] + np.arange(size)]
             norm = np.sqrt((x * x).sum(1))
             big = np.abs(x).max(1, initial=0)
             odd = (norm == 0) | ~np.isfinite(norm)
@@ -89,25 +101,22 @@ def _reading(width: int):
             again = odd & np.isfinite(big) & (big > 0)
             x[again] /= big[again, None]
             norm[again] = np.sqrt((x[again] ** 2).sum(1))
-            good = (size > 0) & np.isfinite(norm) & (norm > 0) & np.isfinite(big)
+            good = np.isfinite(norm) & (norm > 0) & np.isfinite(big)
             unit = np.where(good[:, None], x / np.where(good, norm, 1)[:, None], 0)
-            bits = (unit + 0.0).view(U)
-            digest = [mix((bits * (np.arange(1, 2 * width, 2, dtype=U) * U(k) + U(k))).sum(1, dtype=U) + size.astype(U)).view(np.int64) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(size), pa.array(digest[0]), pa.array(digest[1]), pa.array([u.tobytes() if g else None for u, g in zip(unit, good.tolist())], pa.binary())], ["id", "label", "dim", "d1", "d2", "sig"])
-
-    return run
+            bits = (unit + 0.0).view(U).reshape(len(mine), size)
+            digest = [mix((bits * (np.arange(1, 2 * size, 2, dtype=U) * U(k) + U(k))).sum(1, dtype=U) + U(size)).view(np.int64) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+            rows = batch.take(pa.array(mine))
+            yield pa.RecordBatch.from_arrays([rows.column("vec"), rows.column("label"), pa.array([size] * len(mine), pa.int64()), pa.array(digest[0]), pa.array(digest[1]), pa.array([u.tobytes() if g else None for u, g in zip(unit, good.tolist())], pa.binary())], ["vec", "label", "dim", "d1", "d2", "sig"])
 
 
 def _hashing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for k in range(0, batch.num_rows, 2048):
-            rows = batch.slice(k, 2048)
-            x = np.frombuffer(b"".join(rows.column("sig").to_pylist()), float).reshape(rows.num_rows, -1)
-            dims, salt = rows.column("dim").to_numpy(), rows.column("salt").to_numpy().view(U)
-            for dim in np.unique(dims).tolist():
-                mine = np.flatnonzero(dims == dim)
-                keys = bucket_keys(x[mine, :dim], mix(salt[mine] ^ U(dim)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(rows.column("id").to_numpy()[mine], keys.shape[1]))], ["bkey", "id"])
+        dims, salt, ids = (batch.column(c).to_numpy() for c in ("dim", "label", "id"))
+        for dim, mine in _runs_of_length(dims):
+            for part in np.array_split(mine, -(-len(mine) // 2048)):
+                x = np.frombuffer(b"".join(batch.column("sig").take(pa.array(part)).to_pylist()), float).reshape(len(part), dim)
+                keys = bucket_keys(x, mix(salt[part].view(U) ^ U(dim)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids[part], keys.shape[1]))], ["bkey", "id"])
 
 
 def _linking(least: float):
@@ -120,9 +129,9 @@ def _linking(least: float):
             if not len(left) or not len(right) or one.num_rows < 2:
                 continue
             ids, times = one.column("id").to_numpy(), one.column("times").to_numpy()
-            kind = np.unique(np.column_stack([one.column("d").to_numpy(), one.column("dim").to_numpy()]), axis=0, return_inverse=True)[1].ravel()
+            # a group's vectors were found alike, so they have one length and label
             v = np.frombuffer(b"".join(one.column("sig").to_pylist()), float).reshape(one.num_rows, -1)
-            linked = (v[left] @ v[right].T >= least) & (ids[left][:, None] != ids[right][None, :]) & (kind[left][:, None] == kind[right][None, :])
+            linked = (v[left] @ v[right].T >= least) & (ids[left][:, None] != ids[right][None, :])
             a, b = ids[left].copy(), ids[right].copy()
             some = np.iinfo(np.int64).max
             while True:  # least reachable id inside these blocks
@@ -147,31 +156,39 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     Links are pairs with equal non-null labels and a cosine of at least `least`, in double
     precision, that the buckets find; every link is verified.
     """
-    read = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.xxhash64(F.col(label_col)).alias("label"), F.col(label_col).isNull().alias("bare"))
-    width = read.agg(F.max(F.size("v"))).first()[0] or 0
+    read = vectors.select(F.col(id_col).cast("long").alias("vec"), F.col(vector_col).cast("array<double>").alias("v"), F.xxhash64(F.col(label_col)).alias("label"), F.col(label_col).isNull().alias("bare"))
     usable = F.expr("not bare and v is not null and not exists(v, x -> x is null or isnan(x))")
     read = read.withColumn("v", F.when(usable, F.col("v"))).drop("bare")
-    signed = written(read.mapInArrow(_reading(max(1, width)), "id long, label long, dim long, d1 long, d2 long, sig binary"), "vectors")
-    nodes = signed.where("id is not null and sig is not null")
+    # a row's own number is its node: ids may be shared
+    signed = written(read.mapInArrow(_reading, "vec long, label long, dim long, d1 long, d2 long, sig binary").withColumn("id", F.monotonically_increasing_id()), "vectors")
+    nodes = signed.where("vec is not null and sig is not null")
     same = ["label", "dim", "d1", "d2"]
-    times = written(nodes.groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("times")).where("times > 1"), "copies")
-    reps = nodes.join(times, same, "left").where("rep is null or rep = id").dropDuplicates(["id", *same])
-    reps = written(reps.select("id", "sig", "dim", F.col("label").alias("salt"), F.coalesce("times", F.lit(1)).cast("long").alias("times")), "reps")
-    rows = reps.select("id", "sig", "dim", "salt").mapInArrow(_hashing, "bkey long, id long").distinct()
-    like = Likeness("f8", lambda a, b: (a * b).sum(1), least)
+    times = nodes.groupBy(*same).agg(F.min(F.struct("vec", "id")).alias("first"), F.count("*").alias("times")).where("times > 1")
+    times = written(times.select(*same, F.col("first.id").alias("rep"), F.col("first.vec").alias("rep_vec"), "times"), "copies")
+    reps = nodes.join(times, same, "left").where("rep is null or rep = id")
+    reps = written(reps.select("id", "vec", "sig", "dim", "label", F.coalesce("times", F.lit(1)).cast("long").alias("times")), "reps")
+    rows = reps.select("id", "sig", "dim", "label").mapInArrow(_hashing, "bkey long, id long").distinct()
+    like = Likeness("f8", lambda a, b: (a * b).sum(-1), least)
     groups, weight = coarse_groups(rows, reps.select("id", "sig"), like)
-    sizes = groups.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
-    dealt = groups.join(sizes, "comp").join(reps, "id").withColumn("blk", at("nb")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.select("comp", F.least("blk", "o").alias("x"), F.greatest("blk", "o").alias("y"), "blk", "id", "times", F.col("salt").alias("d"), "dim", "sig")
+    sizes = groups.groupBy("comp").agg(F.count("*").alias("m")).withColumn("nb", F.ceil(F.col("m") / side("m")).cast("int"))
+    dealt = groups.join(sizes, "comp").join(reps, "id").withColumn("blk", at("nb")).withColumn("o", every("nb"))
+    dealt = dealt.select("comp", F.least("blk", "o").alias("x"), F.greatest("blk", "o").alias("y"), "blk", "id", "times", "sig")
     found = dealt.repartition("comp", "x", "y").sortWithinPartitions("comp", "x", "y").mapInArrow(_linking(least), "id long, links long, root long")
     found = written(found, "links")
-    parts = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    counts = found.groupBy("id").agg(F.sum("links").alias("links")).join(parts.select(F.col("node").alias("id"), "component"), "id", "left")
-    counts = written(counts, "counts")
-    drop(reps, weight, found)
-    out = signed.select("id", *same, F.col("sig").isNotNull().alias("ok")).join(times.withColumn("ok", F.lit(True)), [*same, "ok"], "left")
-    out = out.withColumn("rep", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id"))).join(counts.withColumnRenamed("id", "rep"), "rep", "left")
-    out = out.select(F.col("id").alias(id_col), F.when(F.expr("ok and id is not null"), F.coalesce("links", F.lit(0)) + F.coalesce("times", F.lit(1)) - 1).otherwise(0).alias("n_links"), F.when(F.expr("ok"), F.coalesce("component", "rep")).otherwise(F.col("id")).alias("component_id"))
+
+    told = signed.select("id", "vec", *same, F.expr("vec is not null and sig is not null").alias("ok")).join(times.withColumn("ok", F.lit(True)), [*same, "ok"], "left")
+    told = written(told.select("vec", "ok", F.coalesce("rep", "id").alias("rep"), "rep_vec", F.coalesce("times", F.lit(1)).alias("times")), "told")
+    # rows that share an id are one node
+    shared = told.where("vec is not null").groupBy("vec").agg(F.min("rep").alias("b"), F.max("rep").alias("other")).where("b <> other").select("vec", "b")
+    shared = told.join(shared, "vec").select(F.col("rep").alias("a"), "b").distinct()
+    label = written(connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).union(shared)), "label")
+    label = label.withColumnRenamed("node", "rep")
+    named = told.join(label, "rep").groupBy("component").agg(F.min("vec").alias("component_id"))
+    links = found.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links"))
+    counts = written(links.join(label.join(named, "component"), "rep", "full").select("rep", "links", "component_id"), "counts")
+    drop(signed, times, reps, weight, found)
+    out = told.join(counts, "rep", "left")
+    out = out.select(F.col("vec").alias(id_col), F.when(F.col("ok"), F.coalesce("links", F.lit(0)) + F.col("times") - 1).otherwise(0).alias("n_links"), F.coalesce("component_id", "rep_vec", "vec").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 

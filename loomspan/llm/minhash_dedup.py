@@ -8,11 +8,13 @@ full sets; components of the confirmed links come from alternating large-star an
 Equal sets are one node from the start, so a group of copies of any size costs one node. Pairs of
 a large group are never listed: each member is compared with the group's centre (the member that
 shares most buckets), and only those that the centre does not confirm are compared with the rest
-of their group, block against block.
+of their group, block against block; blocks grow with the root of the group.
 
-Shapes of input with a defined result: a null or blank text has the empty set and no link; a text
-with fewer words than a shingle is one shingle; a null id is given back unlinked, with a null
-component; rows that share an id are one node, linked if any of them is. Other columns are ignored.
+Shapes of input with a defined result: a null, empty or blank text has the empty set and no link; a
+text with fewer words than a shingle is one shingle; a very long text is read whole, as any other;
+a null id is given back unlinked, with a null component; rows that share an id are one node, linked
+with whatever one of them is linked with, and each has its own `n_shingles`; repeated rows are given
+back as often; an empty table gives no rows. Other columns are ignored, whatever their names are.
 """
 
 from collections.abc import Iterator
@@ -26,13 +28,13 @@ from ._batches import bounded_batches
 from ._runs import runs
 from ..scratch import drop, written
 from ._words import BYTE, BYTE_LOWER, U, bounds, hashes, mix, slices, windows
-from .buckets import BLOCK, Likeness, at, coarse_groups, every
+from .buckets import Likeness, at, coarse_groups, every, side
 from .components import Joined, connected_components
 
 #: Minima of a signature, and minima of a band. A pair of similarity 0.8 misses all 32 bands once in 300,000 times.
 MINIMA, ROWS = 160, 5
-#: Members of a group that meet one copy of its centre.
-SHARE = 256
+#: Members of a group that meet one copy of its centre, and shingles of a block's sets, about.
+SHARE, BLOCK_GRAMS = 256, 1 << 20
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int, lower: bool) -> list[np.ndarray]:
@@ -73,26 +75,31 @@ def band_keys(signatures: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def _signing(id_col: str, text_col: str, size: int, lower: bool):
+def _digests(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size and 128 bits of each set."""
+    n = np.array([len(s) for s in sets], np.int64)
+    some = np.flatnonzero(n)
+    out = np.zeros((2, len(sets)), U)
+    if len(some):
+        values = np.concatenate([sets[i] for i in some])
+        first = np.concatenate([[0], np.cumsum(n[some])[:-1]])
+        for k, salt in enumerate((0, 0x5851F42D4C957F2D)):
+            out[k, some] = np.add.reduceat(mix(values ^ U(salt)), first)
+    return n, out[0].view(np.int64), out[1].view(np.int64)
+
+
+def _signing(size: int, lower: bool):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, offsets in slices(batch, text_col):
+            for rows, data, offsets in slices(batch, "text"):
                 sets = shingle_sets(data, offsets, size, lower)
-                n = np.array([len(s) for s in sets], np.int64)
+                n, one, two = _digests(sets)
                 some = np.flatnonzero(n)
                 signed: list = [None] * len(sets)
-                one, two = np.zeros(len(sets), U), np.zeros(len(sets), U)
                 if len(some):
                     for i, s in zip(some.tolist(), minima([sets[i] for i in some])):
                         signed[i] = s.tobytes()
-                    values = np.concatenate([sets[i] for i in some])
-                    first = np.concatenate([[0], np.cumsum(n[some])[:-1]])
-                    one[some] = np.add.reduceat(mix(values), first)
-                    two[some] = np.add.reduceat(mix(values ^ U(0x5851F42D4C957F2D)), first)
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(id_col).cast(pa.int64()), pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(signed, pa.binary())],
-                    ["id", "n", "d1", "d2", "sig"],
-                )
+                yield pa.RecordBatch.from_arrays([rows.column("doc"), pa.array(n), pa.array(one), pa.array(two), pa.array(signed, pa.binary())], ["doc", "n", "d1", "d2", "sig"])
 
     return sign
 
@@ -108,14 +115,14 @@ def _banding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column("id").to_numpy(), keys.shape[1]))], ["bkey", "id"])
 
 
-def _setting(id_col: str, text_col: str, size: int, lower: bool):
+def _setting(size: int, lower: bool):
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, offsets in slices(batch, text_col):
+            for rows, data, offsets in slices(batch, "text"):
                 sets = shingle_sets(data, offsets, size, lower)
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 values = np.concatenate(sets) if sets else np.zeros(0, U)
-                yield pa.RecordBatch.from_arrays([rows.column(id_col).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))], ["id", "grams"])
+                yield pa.RecordBatch.from_arrays([rows.column("doc"), *map(pa.array, _digests(sets)), pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))], ["doc", "n", "d1", "d2", "grams"])
 
     return out
 
@@ -164,49 +171,61 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     that it is its own. Texts are read whole and no group is capped. Intermediate tables go to the
     shared folder; the function runs jobs and returns a frame over those tables.
     """
-    bounded_batches(docs.sparkSession)
-    read = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
-    signed = written(read.mapInArrow(_signing(id_col, text_col, shingle, lower), "id long, n long, d1 long, d2 long, sig binary"), "signed")
+    with bounded_batches(docs.sparkSession):
+        return _deduplicated(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")), shingle, percent, lower).withColumnRenamed("doc", id_col)
+
+
+def _deduplicated(read: DataFrame, shingle: int, percent: int, lower: bool) -> DataFrame:
+    # a row's own number is its node: ids may be shared
+    signed = read.mapInArrow(_signing(shingle, lower), "doc long, n long, d1 long, d2 long, sig binary").withColumn("id", F.monotonically_increasing_id())
+    signed = written(signed, "signed")
     least = max(1, round(MINIMA * (percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / MINIMA) ** 0.5)))
-    nodes = signed.where("id is not null and n > 0")
-    same = nodes.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    same = written(same.where("copies > 1").select("n", "d1", "d2", "rep"), "copies")  # a table, so that a skewed join with it can be split
-    reps = nodes.join(same, ["n", "d1", "d2"], "left").where("rep is null or rep = id")
-    reps = written(reps.select("id", "n", "sig").dropDuplicates(["id", "n"]), "reps")
+    nodes = signed.where("doc is not null and n > 0")
+    digest = ["n", "d1", "d2"]
+    same = nodes.groupBy(*digest).agg(F.min(F.struct("doc", "id")).alias("first"), F.count("*").alias("copies"))
+    same = written(same.where("copies > 1").select(*digest, F.col("first.id").alias("rep"), F.col("first.doc").alias("rep_doc")), "copies")  # a table, so that a skewed join with it can be split
+    reps = written(nodes.join(same, digest, "left").where("rep is null or rep = id").select("id", "doc", *digest, "sig"), "reps")
 
     # coarse groups by signature
     sigs = reps.select("id", "sig")
     rows = sigs.mapInArrow(_banding, "bkey long, id long")
-    coarse, weight = coarse_groups(rows, sigs, Likeness("u2", lambda a, b: (a == b).sum(1), least))
+    coarse, weight = coarse_groups(rows, sigs, Likeness("u2", lambda a, b: (a == b).sum(-1), least))
 
     # links on full sets
     top = coarse.join(weight, "id", "left").groupBy("comp").agg(F.max(F.struct(F.coalesce("w", F.lit(0)), (-F.col("id")).alias("neg"))).alias("top"), F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
-    groups = written(coarse.join(top.select("comp", (-F.col("top.neg")).alias("centre"), "shares"), "comp"), "groups")
-    texts = read.join(groups.select(F.col("id").alias(id_col)).distinct(), id_col, "left_semi")
-    sets = texts.mapInArrow(_setting(id_col, text_col, shingle, lower), "id long, grams array<long>")
-    full = written(groups.join(sets, "id").join(reps.select("id", "n", "sig"), "id").where(F.size("grams") == F.col("n")).dropDuplicates(["id", "n"]), "full")
+    groups = coarse.join(top.select("comp", (-F.col("top.neg")).alias("centre"), "shares"), "comp")
+    groups = written(groups.join(reps, "id"), "groups")
+    texts = read.join(groups.select("doc").distinct(), "doc", "left_semi")
+    sets = texts.mapInArrow(_setting(shingle, lower), "doc long, n long, d1 long, d2 long, grams array<long>")
+    full = written(groups.join(sets, ["doc", *digest]).dropDuplicates(["id"]), "full")
     # a centre is repeated for every SHARE members, so that no task meets more of them
     mid = full.where("id = centre").select("centre", every("shares").alias("share"), F.col("grams").alias("cgrams"), F.col("n").alias("cn"))
     both = F.size(F.array_intersect("grams", "cgrams"))
     near = full.where("id <> centre").select("id", "centre", at("shares").alias("share"), "grams", "n").join(mid, ["centre", "share"]).where(100 * F.least("n", "cn") >= percent * F.greatest("n", "cn"))
-    near = written(near.where(100 * both >= percent * (F.col("n") + F.col("cn") - both)).select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct(), "near")
+    near = written(near.where(100 * both >= percent * (F.col("n") + F.col("cn") - both)).select(F.col("id").alias("a"), F.col("centre").alias("b")), "near")
 
     known = full.join(near.select(F.col("a").alias("id"), F.lit(True).alias("ok")), "id", "left").withColumn("fine", F.when(F.expr("ok or id = centre"), F.col("centre")).otherwise(F.col("id")))
-    count = known.groupBy("comp").agg(F.count("*").alias("m"), F.sum(F.when(F.expr("ok is null and id <> centre"), 1).otherwise(0)).alias("out")).where("out > 0 and m > 2")
-    known = known.join(count, "comp").withColumn("nx", F.ceil(F.col("out") / BLOCK).cast("int")).withColumn("ny", F.ceil(F.col("m") / BLOCK).cast("int"))
+    count = known.groupBy("comp").agg(F.count("*").alias("m"), F.avg("n").alias("mean"), F.sum(F.when(F.expr("ok is null and id <> centre"), 1).otherwise(0)).alias("out")).where("out > 0 and m > 2")
+    size = F.greatest(F.lit(1.0), F.least(side("m"), BLOCK_GRAMS / F.col("mean")))
+    known = known.join(count, "comp").withColumn("nx", F.ceil(F.col("out") / size).cast("int")).withColumn("ny", F.ceil(F.col("m") / size).cast("int"))
     cols = ["comp", "x", "y", "side", "id", "fine", "n", "sig", "grams"]
     ones = known.where("ok is null and id <> centre").withColumn("side", F.lit(0)).withColumn("x", at("nx")).withColumn("y", every("ny"))
     others = known.where("id <> centre").withColumn("side", F.lit(1)).withColumn("y", at("ny")).withColumn("x", every("nx"))
     last = ones.select(cols).union(others.select(cols)).repartition("comp", "x", "y").sortWithinPartitions("comp", "x", "y")
     links = near.union(last.mapInArrow(_confirming(percent, least), "a long, b long"))
-    label = connected_components(links)
 
-    out = signed.select("id", "n", "d1", "d2").join(same, ["n", "d1", "d2"], "left")
-    out = out.withColumn("rep", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id"))).join(label.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-    out = out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
-    drop(reps, weight, groups, full)
-    return out
+    told = signed.select("id", "doc", *digest).join(same, digest, "left")
+    told = written(told.select("doc", "n", F.when(F.col("doc").isNotNull(), F.coalesce("rep", "id")).alias("rep"), F.when(F.col("doc").isNotNull(), F.col("rep_doc")).alias("rep_doc")), "told")
+    # rows that share an id are one node
+    shared = told.where("doc is not null").groupBy("doc").agg(F.min("rep").alias("b"), F.max("rep").alias("other")).where("b <> other").select("doc", "b")
+    shared = told.join(shared, "doc").select(F.col("rep").alias("a"), "b").distinct()
+    label = written(connected_components(links.union(shared)), "label")
+    label = label.withColumnRenamed("node", "rep")
+    named = told.join(label, "rep").groupBy("component").agg(F.min("doc").alias("component_id"))
+    label = written(label.join(named, "component").select("rep", "component_id"), "label")
+    out = told.join(label, "rep", "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep_doc", "doc").alias("component_id"))
+    drop(signed, same, reps, weight, groups, full)
+    return out.withColumn("kept", F.coalesce(F.col("doc") == F.col("component_id"), F.lit(True)))
 
 
 def op1_minhash_dedup(spark, sf_dir: str) -> DataFrame:

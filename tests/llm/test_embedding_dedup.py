@@ -1,6 +1,7 @@
 import duckdb
 import numpy as np
 
+from loomspan.llm import buckets
 from loomspan.llm import embedding_dedup as ed
 
 
@@ -26,6 +27,10 @@ def brute(rows, least=0.98):
                 links[a] += 1
                 links[b] += 1
                 parent[root(b)] = root(a)
+    first = {}
+    for k, (i, _, _) in enumerate(rows):  # rows that share an id are one node
+        if i is not None:
+            parent[root(k)] = root(first.setdefault(i, k))
     part = {}
     for k, (i, _, _) in enumerate(rows):
         if i is not None:
@@ -42,6 +47,42 @@ def test_whole_table(spark, sf):
     assert key(ed.op4_embedding_dedup(spark, sf).collect()) == key(brute(rows))
 
 
+def test_recall_at_a_larger_size(spark):
+    """Links of every row against all pairs: the table's vectors, each with neighbours at a cosine from 0.975 to 0.995."""
+    rng = np.random.default_rng(5)
+    rows = duckdb.sql("select vec_id, embedding, label from '/root/testdata/sf0.1/embeddings.parquet'").fetchall()
+    for i, v, label in rows[:]:
+        u = np.array(v) / np.linalg.norm(v)
+        w = rng.normal(size=len(u))
+        w -= (w @ u) * u
+        c = rng.uniform(0.975, 0.995)
+        rows.append((100_000 + i, (c * u + (1 - c * c) ** 0.5 * w / np.linalg.norm(w)).tolist(), label))
+    want = dict(brute_links(rows))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in ed.embedding_dedup(df).collect()}
+    asked = [i for i in want if i % 100 == 0]
+    assert sum(want.values()) > 2000 and all(got[i] <= n for i, n in want.items())
+    assert sum(got.values()) >= 0.999 * sum(want.values())
+    assert sum(got[i] for i in asked) >= 0.99 * sum(want[i] for i in asked) > 0
+
+
+def brute_links(rows):
+    v = np.array([r[1] for r in rows], float)
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    label = np.array([r[2] for r in rows])
+    linked = (v @ v.T >= 0.98) & (label[:, None] == label[None, :])
+    return [(r[0], int(n) - 1) for r, n in zip(rows, linked.sum(1))]
+
+
+def test_shared_ids_and_names(spark):
+    e = np.eye(12)
+    rows = [(1, e[0], 1), (1, e[1], 1), (2, 2 * e[0], 1), (3, e[1] + 0.01 * e[2], 1), (4, e[5], 1), (4, e[6], 2), (5, e[6], 2), (6, e[7], 1), (6, None, 1), (7, None, 1), (7, e[5] + 0.02 * e[3], 1)]
+    rows += [(8, np.resize(e[0], 5000), 1), (9, np.resize(3 * e[0], 5000), 1)]
+    rows = [(i, None if v is None else v.tolist(), k) for i, v, k in rows]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, label int, id int, vec int").withColumnRenamed("vec", "a.b").repartition(3)
+    assert key(ed.embedding_dedup(df).collect()) == key(brute(rows))
+
+
 def test_groups_and_copies(spark, monkeypatch):
     rng = np.random.default_rng(1)
     rows = []
@@ -50,7 +91,7 @@ def test_groups_and_copies(spark, monkeypatch):
         for _ in range(40):
             rows.append((int(rng.integers(10**6)) * 1000 + len(rows), (base + rng.normal(size=40) * 0.11).tolist(), "ab"[k % 2]))
     rows += [(len(rows) * 7 + k, rows[3][1], "b") for k in range(30)] + [(9 * k + 10**10, rows[4][1], "a") for k in range(10)]
-    monkeypatch.setattr(ed, "BLOCK", 16)
+    monkeypatch.setattr(buckets, "BLOCK", 16)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
     got, want = (sorted(map(tuple, x)) for x in (ed.embedding_dedup(df).collect(), brute(rows)))
     assert sum(w[1] for w in want) > 300

@@ -61,5 +61,23 @@ def test_odd_rows(spark):
     assert got(minhash_dedup(nulls, shingle=2)) == {(None, 2, None, True), (3, 2, 3, True), (4, 2, 3, False)}
 
 
+def test_shared_ids_are_one_node(spark):
+    rng = random.Random(8)
+    p, q = ([f"{k}{rng.randrange(900)}" for _ in range(30)] for k in "pq")
+    rows = [(1, p), (1, q), (2, [*p, "x"]), (3, [*q, "y"]), (4, ["other", "text"]), (5, p), (5, ["lone", "words"]), (6, ["lone", "words"]), (6, []), (7, []), (7, ["other", "text", "longer"])]
+    rows += [(9, [*q, "z"]), (8, ["lone", "words", "more", "of", "them"]), (8, ["lone", "words"])]
+    table = [(i, " ".join(w)) for i, w in rows]
+    want = {1: 1, 2: 1, 3: 1, 4: 4, 5: 1, 6: 1, 7: 7, 8: 1, 9: 1}
+    for parts in (1, 3):
+        df = spark.createDataFrame(table, "doc_id long, text string").repartition(parts)
+        assert {(r["doc_id"], r["component_id"], r["kept"]) for r in minhash_dedup(df, shingle=2).collect()} == {(i, c, i == c) for i, c in want.items()}
+
+
+def test_names_that_clash(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = docs.selectExpr("*", "1 as `a.b`", "2 as id", "3 as doc", "4 as n", "5 as component", "6 as n_shingles")
+    assert got(minhash_dedup(odd)) == got(minhash_dedup(docs))
+
+
 def test_empty_table(spark):
     assert minhash_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []

@@ -2,10 +2,12 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from loomspan.llm import _words as w
+from loomspan.llm._batches import bounded_batches
 from loomspan.llm._runs import runs
 from loomspan.llm.components import connected_components
 
@@ -30,6 +32,16 @@ def test_components_of_chains_and_random_graphs(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_batch_size_is_set_back(spark):
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    with pytest.raises(ZeroDivisionError):
+        with bounded_batches(spark):
+            assert int(spark.conf.get(setting)) == 2000
+            1 / 0
+    assert spark.conf.get(setting) == before
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.text(alphabet="ab é\t\n語", max_size=12), max_size=8))
 def test_words_are_those_of_the_pattern(texts):
