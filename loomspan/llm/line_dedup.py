@@ -1,25 +1,29 @@
 """Lines from recurring templates, dropped from all documents but the first. DataFrame functions only.
 
-A line's place in the template tree: its number of tokens, its leading tokens, then the rest with
-its variable fields generalised. A token with a digit is a field anywhere, as long as at least
-half of the line's tokens stay and have a letter; a line with more numbers than that is data, and
-only equal lines are its template. In lines of 8 to 40 tokens one quarter of the tokens (never the
-two leading ones) may be a field as well, so a line has up to five leaves. In lines of any length
-fields may stand anywhere behind the two leading tokens: among the texts that share a node (number
-of tokens, leading tokens), a token that fewer than `least` of them, or fewer than a given part of
-them, have at its place is a field; more than half of the tokens, and one behind
-the leading ones, must stay and have a letter. A leaf that lines of `least` or more different texts reach is a recurring
-template; its lines go, but for those of the text whose smallest id is least, so that nothing is
-lost from the corpus and copies of that text stay copies.
-
-Counting: leaves that too few documents have are found with a pre-aggregated count and fall out
-first; only rows of the others meet in a join, with a written table, so that a frequent line's
-rows can be split over tasks. Keys are 64-bit hashes: a wrong drop would need `least` texts to
-collide at once.
-
-Shapes of input with a defined result: a null text has no lines and stays null; blank lines are
-never dropped; a row with a null id stays as it is and is not counted; rows that share an id and a
-text are one; rows that share an id but not a text are separate texts; other columns are kept by
+The template tree has a fixed depth. A line's first level is its number of tokens, the second its
+two leading tokens: together its node. A token with a digit is a variable field from the start, also
+as a leading token, if at least half of the line's tokens have a letter and no digit. On the third
+level a node's own counts tell its fields: for each place behind the leading tokens, a token stands
+for itself if `least` texts of the node have it there, and at least a given part of the node's texts
+(a leaf for each of a few parts); else its place is a field. A leaf's template must be made of words
+by more than half, one of them behind the leading tokens. The rule is the same for lines of any
+length. Lines that have nothing behind two leading tokens, and rows of numbers (lines whose digits
+are not masked), have no node; for these, and for all others as well, equal lines are a template.
+
+A template that lines of `least` or more different texts reach is recurring; its lines go, but for
+those of the text whose smallest id is least, so that nothing is lost from the corpus and copies of
+that text stay copies. Fields without a digit among the two leading tokens are not generalised.
+
+Counting: nodes, tokens and lines that too few texts have are found with pre-aggregated counts and
+fall out first; only rows of the others meet in a join, with a written table, so that a frequent
+line's rows can be split over tasks. Keys are 64-bit hashes: a wrong drop would need `least` texts
+to collide at once.
+
+Shapes of input with a defined result: a null text has no lines and stays null; an empty text is one
+blank line, and blank lines are never dropped; texts and lines of any length are parsed whole; a row
+with a null id stays as it is and is not counted; rows that share an id and a text are one; rows
+that share an id but not a text are separate texts, and of two with the same least id the one with
+the smaller hash keeps its lines; an empty table gives no rows; other columns are kept by
 `drop_templates` whatever their names are.
 """
 
@@ -27,11 +31,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import drop, written
+from ._rows import nested, opened, quoted
 
-#: Texts that make a template recurring.
-LEAST = 5
-#: Lines of so many tokens may have a field besides tokens with digits; leading tokens that are never a field.
-SHORT, LONG, LEADING = 8, 40, 2
+#: Texts that make a template recurring, and leading tokens that make a node.
+LEAST, LEADING = 5, 2
 #: Parts of a node's texts that must have a token at its place for it to stay, besides `least` texts.
 PARTS = (0, 1 / 16, 1 / 8, 1 / 4, 1 / 2)
 _SPACE = r"[ \t\x0B\f\r]"
@@ -59,40 +62,21 @@ def _masked(line: Column) -> Column:
     return F.when(rough, clean).otherwise(line)
 
 
-def _keys() -> Column:
-    """The hashes of the leaves that a line with columns `line` (masked) and `n` (tokens) reaches; null where there is none.
-
-    Parts of a line are cut out by counting spaces, so that no array of tokens is made.
-    """
-    line, n = F.col("line"), F.col("n")
-    whole = F.when(n > 0, F.xxhash64(F.lit(-1), n, line))
-    keys = [whole]
-    for k in range(4):
-        a = F.greatest(F.lit(LEADING), F.floor(n * k / 4).cast("int"))
-        b = F.floor(n * (k + 1) / 4).cast("int")
-        head, tail = F.call_function("substring_index", line, F.lit(" "), a), F.call_function("substring_index", line, F.lit(" "), b - n)
-        rest = F.when(b < n, tail).otherwise(F.lit(""))
-        enough = ~F.contains(line, F.lit("<*>")) | _worded(F.concat_ws(" ", head, rest), n)
-        keys.append(F.when((b > a) & enough, F.xxhash64(F.lit(k), n, head, rest)))
-    data = F.rlike(line, F.lit("[0-9]"))
-    return F.when((n >= SHORT) & (n <= LONG) & ~data, F.array(*keys)).otherwise(F.array(whole))
-
-
 def _node() -> Column:
     """The hash of a line's number of tokens and leading tokens; null where nothing is behind those, and for rows of numbers."""
     line, n = F.col("line"), F.col("n")
     return F.when((n > LEADING) & ~F.rlike(line, F.lit("[0-9]")), F.xxhash64(F.lit(-2), n, F.substring_index(line, " ", LEADING)))
 
 
-def _wide_leaves(wide: DataFrame, least: int) -> DataFrame:
+def _leaves(parsed: DataFrame, least: int) -> DataFrame:
     """`th, pos, key, id`: leaves with fields at any places behind the leading tokens, and the least id of the text."""
-    tokens = wide.select("th", "pos", "node", F.posexplode(F.split("line", " ")).alias("j", "w")).where((F.col("j") >= LEADING) & (F.col("w") != "<*>"))
+    tokens = parsed.select("th", "pos", "node", F.posexplode(F.split("line", " ")).alias("j", "w")).where((F.col("j") >= LEADING) & (F.col("w") != "<*>"))
     tokens = tokens.select("th", "pos", F.xxhash64("node", "j", "w").alias("h"), F.rlike("w", F.lit(r"\p{L}")).alias("word"))
     frequent = tokens.select("h", "th").distinct().groupBy("h").agg(F.count("*").alias("f")).where(F.col("f") >= least)
     frequent = written(frequent, "frequent")
     # what holds for a line as a whole comes in one row, so that the rows of its tokens are narrow
     lead = F.regexp_count(F.substring_index("line", " ", LEADING), F.lit(_WORD))
-    own = wide.select("th", "pos", F.struct("node", "n", "texts", lead.alias("lead"), "id").alias("own"))
+    own = parsed.select("th", "pos", F.struct("node", "n", "texts", lead.alias("lead"), "id").alias("own"))
     found = tokens.join(frequent, "h").select("th", "pos", F.struct("h", "f", "word").alias("token"))
     held = own.unionByName(found, allowMissingColumns=True).groupBy("th", "pos").agg(F.min("own").alias("own"), F.collect_set("token").alias("held"))
     held = held.select("th", "pos", "own.*", "held")
@@ -107,56 +91,54 @@ def _wide_leaves(wide: DataFrame, least: int) -> DataFrame:
 
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """`id, text_hash, gone array<int>`: places (from 0) of the lines to drop, of documents that lose any."""
-    named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id is not null and t is not null")
+    named = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).cast("string").alias("t")).where("id is not null and t is not null")
     lines = named.select("id", F.xxhash64("t").alias("th"), "t").select("id", "th", F.posexplode(F.split("t", "\n")).alias("pos", "line"))
-    lines = lines.select("id", "th", "pos", _masked(F.col("line")).alias("line"))
+    lines = lines.select("id", "th", "pos", _masked(F.col("line")).alias("line")).where("line <> ''")
     lines = lines.withColumn("n", _tokens(F.col("line")))
     node = _node()
-    lines = written(lines.select("id", "th", "pos", _keys().alias("keys"), "n", node.alias("node"), F.when(node.isNotNull(), F.col("line")).alias("line")), "lines")
-    leaves = lines.select("id", "th", "pos", F.explode("keys").alias("key")).where("key is not null")
-    often = written(leaves.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("key"), "often")
-    reached = written(leaves.join(often, "key"), "reached")
+    lines = written(lines.select("id", "th", "pos", F.xxhash64(F.lit(-1), "line").alias("key"), "n", node.alias("node"), F.when(node.isNotNull(), F.col("line")).alias("line")), "lines")
+    often = written(lines.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") >= least).select("key"), "often")
+    equal = written(lines.join(often, "key").select("id", "th", "pos", "key"), "equal")
     noded = lines.where("node is not null")
     nodes = noded.select("node", "th").distinct().groupBy("node").agg(F.count("*").alias("texts")).where(F.col("texts") >= least)
     nodes = written(nodes, "nodes")
-    wide = written(noded.join(nodes, "node").select("id", "th", "pos", "node", "n", "texts", "line"), "wide")
+    parsed = written(noded.join(nodes, "node").select("id", "th", "pos", "node", "n", "texts", "line"), "parsed")
     drop(lines, often, nodes)
-    further = written(_wide_leaves(wide, least), "further")
-    texts = reached.select("key", "th", "id").union(further.select("key", "th", "id")).groupBy("key", "th").agg(F.min("id").alias("id"))
+    leaves = written(_leaves(parsed, least), "leaves")
+    texts = equal.select("key", "th", "id").union(leaves.select("key", "th", "id")).groupBy("key", "th").agg(F.min("id").alias("id"))
     first = F.min(F.struct("id", "th"))
     templates = written(texts.groupBy("key").agg(F.count("*").alias("n"), first.alias("first")).where(F.col("n") >= least).select("key", F.col("first.th").alias("own")), "templates")
-    places = further.join(templates, "key").where("th <> own").select("th", "pos").distinct()
-    places = wide.select("id", "th", "pos").join(places, ["th", "pos"]).select("id", "th", "pos")
-    gone = reached.join(templates, "key").where("th <> own").select("id", "th", "pos").union(places).groupBy("id", "th").agg(F.collect_set("pos").alias("gone"))
+    places = leaves.join(templates, "key").where("th <> own").select("th", "pos").distinct()
+    places = parsed.select("id", "th", "pos").join(places, ["th", "pos"]).select("id", "th", "pos")
+    gone = equal.join(templates, "key").where("th <> own").select("id", "th", "pos").union(places).groupBy("id", "th").agg(F.collect_set("pos").alias("gone"))
     gone = written(gone.select("id", F.col("th").alias("text_hash"), "gone"), "gone")
-    drop(reached, templates, wide, further)
+    drop(equal, templates, parsed, leaves)
     return gone
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
-    """`docs` with a column `loomspan_gone`: places of lines to drop, null for none."""
-    gone = recurring_lines(docs, id_col, text_col, least).select(F.col("id").alias("loomspan_id"), F.col("text_hash").alias("loomspan_hash"), F.col("gone").alias("loomspan_gone"))
-    same = (F.col(id_col).cast("long") == F.col("loomspan_id")) & (F.xxhash64(text_col) == F.col("loomspan_hash"))
-    return docs.join(gone, same, "left").drop("loomspan_id", "loomspan_hash")
+    """`row, id, text, gone`: each row with the places of the lines it loses, null for none."""
+    gone = recurring_lines(docs, id_col, text_col, least)
+    rows = nested(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
+    return rows.join(gone, ["id", "text_hash"], "left")
 
 
-def _rest(text_col: str) -> Column:
-    lines = F.split(text_col, "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "loomspan_gone")
-    return F.when(F.col("loomspan_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+def _rest() -> Column:
+    lines = F.split("text", "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone")
+    return F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
 
 
 def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """`docs` with the same columns and rows, its texts without the lines of recurring templates."""
-    marked = _marked(docs, id_col, text_col, least)
-    return marked.select(*[(_rest(text_col).alias(c) if c == text_col else F.col(c)) for c in docs.columns])
+    return opened(_marked(docs, id_col, text_col, least), docs.columns, text_col, _rest())
 
 
 def line_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """One row per row of `docs`: `id_col, n_lines, n_dropped, kept_sha256` (null for a null text)."""
-    marked = _marked(docs.select(id_col, text_col), id_col, text_col, least)
-    lines = F.when(F.col(text_col).isNotNull(), F.size(F.split(text_col, "\n"))).otherwise(0)
-    return marked.select(F.col(id_col), lines.cast("long").alias("n_lines"), F.coalesce(F.size("loomspan_gone"), F.lit(0)).cast("long").alias("n_dropped"), F.sha2(_rest(text_col), 256).alias("kept_sha256"))
+    marked = _marked(docs.select(quoted(id_col), quoted(text_col)), id_col, text_col, least)
+    lines = F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n"))).otherwise(0)
+    return marked.select(F.col("row")[id_col].alias(id_col), lines.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), F.sha2(_rest(), 256).alias("kept_sha256"))
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
@@ -165,17 +147,25 @@ def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 def template_sql(docs: str) -> str:
     """CTEs `gone (doc_id, text, places)` and what they need, in DuckDB's SQL, over a relation with doc_id and text."""
-    quarters = " UNION ALL ".join(
-        f"""SELECT doc_id, text, pos, '{k} ' || n || chr(10) || array_to_string(tokens[1:greatest({LEADING}, n * {k} // 4)], ' ') || chr(10) || array_to_string(tokens[n * {k + 1} // 4 + 1:n], ' ') AS key
-        FROM tokened WHERE n BETWEEN {SHORT} AND {LONG} AND n * {k + 1} // 4 > greatest({LEADING}, n * {k} // 4)"""
-        for k in range(4)
+    leaves = " UNION ALL ".join(
+        f"""SELECT doc_id, text, pos, 't ' || n || chr(10) || t1 || chr(10) || t2 || chr(10) || string_agg(j || ':' || w, chr(10) ORDER BY j) AS key FROM held WHERE f >= texts * {part}
+        GROUP BY doc_id, text, pos, n, t1, t2, lead HAVING count(*) FILTER (word) > 0 AND 2 * (lead + count(*) FILTER (word)) > n"""
+        for part in PARTS
     )
+    letter = r"'\p{L}'"
     return rf"""
-    split_lines AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos
+    split_lines AS (SELECT DISTINCT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos
         FROM {docs} WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-    tokened AS (SELECT *, len(tokens) AS n FROM (SELECT doc_id, text, pos,
-        list_filter(regexp_split_to_array(regexp_replace(line, '[^ \t\x0B\f\r]*[0-9][^ \t\x0B\f\r]*', '<*>', 'g'), '[ \t\x0B\f\r]+'), lambda x: x <> '') AS tokens FROM split_lines)),
-    leaves AS (SELECT doc_id, text, pos, '- ' || n || chr(10) || array_to_string(tokens, ' ') AS key FROM tokened WHERE n > 0 UNION ALL {quarters}),
+    raw AS (SELECT doc_id, text, pos, list_filter(regexp_split_to_array(line, '[ \t\x0B\f\r]+'), lambda x: x <> '') AS own FROM split_lines),
+    masked AS (SELECT *, len(own) AS n, list_transform(own, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS hidden FROM raw),
+    tokened AS (SELECT doc_id, text, pos, n, CASE WHEN 2 * len(list_filter(hidden, lambda x: regexp_matches(x, {letter}))) >= n THEN hidden ELSE own END AS tokens FROM masked WHERE n > 0),
+    noded AS (SELECT *, tokens[1] AS t1, tokens[2] AS t2, CAST(regexp_matches(tokens[1], {letter}) AS INT) + CAST(regexp_matches(tokens[2], {letter}) AS INT) AS lead
+        FROM tokened WHERE n > {LEADING} AND NOT regexp_matches(array_to_string(tokens, ' '), '[0-9]')),
+    nodes AS (SELECT n, t1, t2, count(DISTINCT text) AS texts FROM noded GROUP BY ALL HAVING count(DISTINCT text) >= {LEAST}),
+    placed AS (SELECT *, tokens[j] AS w FROM (SELECT *, unnest(range({LEADING} + 1, n + 1)) AS j FROM noded JOIN nodes USING (n, t1, t2)) WHERE tokens[j] <> '<*>'),
+    frequent AS (SELECT n, t1, t2, j, w, count(DISTINCT text) AS f FROM placed GROUP BY ALL HAVING count(DISTINCT text) >= {LEAST}),
+    held AS (SELECT doc_id, text, pos, n, t1, t2, j, w, f, texts, lead, regexp_matches(w, {letter}) AS word FROM placed JOIN frequent USING (n, t1, t2, j, w)),
+    leaves AS (SELECT doc_id, text, pos, '- ' || array_to_string(tokens, ' ') AS key FROM tokened UNION ALL {leaves}),
     templates AS (SELECT key, arg_min(text, doc_id) AS own FROM leaves GROUP BY key HAVING count(DISTINCT text) >= {LEAST}),
     gone AS (SELECT doc_id, text, list(DISTINCT pos) AS places FROM leaves JOIN templates USING (key) WHERE text <> own GROUP BY ALL)"""
 

@@ -22,7 +22,7 @@ def test_lines(spark):
     line = "Posted by user {} on 2024-01-0{} in the news section of it"
     rows = [(k, f"own text {'x' * k}\n" + line.format(["ann", "bob", "eve", "joe", "sue", "kim"][k], k) + "\n\nAll rights reserved.\t") for k in range(6)]
     rows += [(50, rows[0][1]), (7, None), (8, ""), (9, "\n\n"), (None, "All rights reserved."), (10, "All rights  reserved.\nAll rights reserved.\nnew"), (0, "All rights reserved. "), (11, "z " * 50_000)]
-    df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, id long, gone int")
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, id long, gone int").selectExpr("*", "3 as `a.b`", "4 as loomspan_gone", "5 as loomspan_id", "6 as `row`")
     got = sorted(map(str, ((r[0], r[1]) for r in line_dedup.drop_templates(df).collect())))
     kept = {}
     for i, t in rows:
@@ -72,7 +72,15 @@ def test_urls(spark):
     ]
     captures = spark.createDataFrame([(*r[:3], "k") for r in rows], "page_id long, url string, fetched_at date, kind string")
     listed = spark.createDataFrame(entries, "kind string, subject string, verdict string, since date")
-    for most in (100, 0):
-        got = url_filter.url_filter(captures, listed, broadcast_rows=most).collect()
-        assert sorted(str((r["page_id"], r["blocked"])) for r in got) == sorted(str((r[0], r[3])) for r in rows)
+    long = "http://" + "l." * 3000 + "a.b/" + "p/" * 3000
+    more = captures.union(spark.createDataFrame([(12, long, day(2024, 1, 6), "k"), (13, "", day(2024, 1, 6), "k")], captures.schema)).selectExpr("*", "1 as `a.b`", "2 as id", "3 as subject")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for most in (before, "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+        try:
+            got = url_filter.url_filter(more, listed).collect()
+            assert sorted(str((r["page_id"], r["blocked"])) for r in got) == sorted([*(str((r[0], r[3])) for r in rows), "(12, True)", "(13, False)"])
+            assert same(op5_url_filter(spark, D), OP5_SQL, D) == 250
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert url_filter.url_filter(captures.limit(0), listed.limit(0)).collect() == []
