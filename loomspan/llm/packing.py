@@ -1,7 +1,7 @@
 """Best-fit packing of token sequences, after Martello-Toth dominance reduction.
 
 Only the number of pieces of each length is needed to plan: a histogram of at most `capacity`
-counts, whatever the number of documents. The plan is a list of patterns (how many pieces of which
+counts, whatever the number of documents; the plan has a few patterns for each length. The plan is a list of patterns (how many pieces of which
 lengths share a sequence) with multiplicities, and every piece finds its place in it from its
 length and its rank among the pieces of that length. Ranks come from counts of chunks, so nothing
 but the histogram is collected.
@@ -11,9 +11,11 @@ whose largest companion fills the sequence exactly, or beats any set of two or m
 together, is fixed with it, as that set dominates all others that hold the piece. This goes on
 until nothing changes; what remains is packed best-fit decreasing.
 
-Shapes of input with a defined result: a null or empty text is the end token alone; null or
-repeated ids are packed and given back like others; an empty table gives no rows; other columns
-are ignored.
+Shapes of input with a defined result: a null or empty text is the end token alone; a text of any
+length is tokenised whole and cut into pieces; null or repeated ids are packed and given back like
+others; pieces of equal length are taken in the order of the table's parts, which any run may change
+without changing the number of sequences; an empty table gives no rows; other columns are ignored,
+whatever their names are.
 """
 
 import zlib
@@ -61,9 +63,8 @@ def reduce_dominated(counts: np.ndarray) -> tuple[list[tuple[tuple[int, ...], in
                 k = int(there[-1])
                 if k != gap and _best_of_many(left, s, there, gap) > k:
                     break
+                # the reason holds for as long as there are both: pieces only go, so no set of others grows
                 n = int(left[s]) // 2 if k == s else int(min(left[s], left[k]))
-                if k != gap and n > 1:
-                    n = 1  # fewer short pieces may change what fits next
                 fixed.append(((s, k), n))
                 left[s] -= n
                 left[k] -= n

@@ -95,3 +95,28 @@ def test_plan_is_near_the_bound():
     lengths = np.minimum(1024, rng.lognormal(6, 1, 50_000).astype(int) + 1)
     patterns = packing.plan(np.bincount(lengths, minlength=1025))
     assert sum(q for _, q in patterns) <= lengths.sum() / 1024 * 1.002 + 1
+
+
+def test_plan_does_not_grow_with_the_pieces():
+    for many in (20_000, 10**9):
+        counts = np.zeros(1025, np.int64)
+        counts[[700, 300]] = many
+        assert packing.plan(counts) == [((700, 300), many)]
+    rng = np.random.default_rng(3)
+    for many in (10**3, 10**6, 10**9):
+        counts = rng.integers(0, many, 1025)
+        counts[0] = 0
+        patterns = packing.plan(counts)
+        assert len(patterns) < 4 * 1025
+        used = np.zeros(1025, np.int64)
+        for p, q in patterns:
+            assert sum(p) <= 1024 and q > 0
+            np.add.at(used, list(p), q)
+        assert (used == counts).all()
+
+
+def test_text_of_more_than_a_mb(spark):
+    rng = random.Random(6)
+    rows = [(1, " ".join(rng.choice(["word", "Wörter", "don't", "1234", "  x", "été,\n"]) for _ in range(230_000))), (2, "short")]
+    assert len(rows[0][1].encode()) > 1 << 20
+    check(rows, packing.pack_tokens(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect())
