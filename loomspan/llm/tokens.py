@@ -1,7 +1,10 @@
 """Byte-level BPE with numpy, and token counts by a public library.
 
-Shapes of input with a defined result: a null text counts as empty and has no tokens; ids may be
-null or repeated and are given back as they are, one row out for each row in; texts are read whole.
+Shapes of input with a defined result: a null text counts as empty; an empty text has no tokens (and
+decodes to no bytes); texts of any length are read whole, in runs of about a MB; ids may be null or
+repeated and are given back as they are, one row out for each row in; of equal ranks in a piece the
+leftmost pair merges first; an empty table gives no rows; other columns are ignored, whatever their
+names are.
 """
 
 import base64
@@ -20,9 +23,9 @@ from pyspark.sql import functions as F
 
 from ._words import SLICE, U, mix, texts
 
-#: Distinct pieces that a worker keeps encoded; beyond it starts anew.
-CACHE = 400_000
-#: Pieces of more bytes go through a heap instead of a matrix.
+#: Characters of distinct pieces, and of their ids, that a worker keeps; beyond it starts anew. A run of texts may add a MB or so.
+CACHE = 16 << 20
+#: Pieces of more bytes go through a heap instead of a matrix, whose rounds times width grow with the square of the piece.
 WIDE = 256
 _NONE = np.int32(2**31 - 1)
 
@@ -98,6 +101,7 @@ class Bpe:
         latin = re.sub(r"\[\^([^]]*)\]", lambda m: "[^" + m[1].replace(r"\p{L}", _LATIN_LETTERS).replace(r"\p{N}", _LATIN_NUMBERS) + "]", latin)
         self.split_latin = re.compile(latin.replace(r"\p{L}", f"[{_LATIN_LETTERS}]").replace(r"\p{N}", f"[{_LATIN_NUMBERS}]"))
         self.known: dict[str, str] = {}
+        self.held = 0
 
     def pieces(self, text: str, latin: bool) -> list[str]:
         """The matches of the pattern; `latin`: every character is below U+0100."""
@@ -193,13 +197,13 @@ class Bpe:
 
     def encoded(self, found: list[list[str]]) -> list[str]:
         """Decimal ids joined by commas, for each list of pieces."""
-        new = set().union(*found) - self.known.keys() if found else set()
-        if len(self.known) + len(new) > CACHE:
+        if self.held > CACHE:
             self.known.clear()
-            new = set().union(*found)
-        fresh = list(new)
+            self.held = 0
+        fresh = list(set().union(*found) - self.known.keys())
         for p, ids in zip(fresh, self.merge([p.encode() for p in fresh])):
-            self.known[p] = ",".join(map(str, ids))
+            self.known[p] = ids = ",".join(map(str, ids))
+            self.held += len(p) + len(ids)
         return [",".join(map(self.known.__getitem__, pieces)) for pieces in found]
 
     def decoded(self, ids: str) -> bytes:

@@ -37,6 +37,16 @@ def test_long_pieces_by_heap_equal_matrix(monkeypatch):
     assert bpe.merge(some) == by_matrix
 
 
+def test_known_pieces_are_bounded_by_size(monkeypatch):
+    bpe, lib = tokens.Bpe(tokens.read_ranks(RANKS), P.PATTERN), encoding()
+    monkeypatch.setattr(tokens, "CACHE", 2000)
+    rng = random.Random(9)
+    for _ in range(30):
+        t = " ".join("".join(rng.choice("abcdefgh") for _ in range(80)) for _ in range(10))
+        assert bpe.encoded([bpe.pieces(t, True)]) == [",".join(map(str, lib.encode_ordinary(t)))]
+        assert sum(len(k) + len(v) for k, v in bpe.known.items()) == bpe.held < 2000 + 4000
+
+
 def test_whole_table(spark, sf):
     from loomspan.llm.queries import QUERIES
 
