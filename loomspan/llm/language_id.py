@@ -4,10 +4,15 @@ Counts of the n-grams of every training text are summed per language in one pass
 fixed size; the log-probability matrix (BUCKETS x languages, a few MB) goes to the executors, and a
 batch of texts is scored by gathering the rows of its n-grams and summing them for each text.
 
-Shapes of input with a defined result: a null text, or one without a letter, is `und` with score 0;
-training leaves out null ids, null texts and null languages; without any training text every text
-is `und`; null or repeated ids are given back as they are; other columns are ignored. More than
-MOST_LANGUAGES distinct languages are refused, as the matrix is bounded by them.
+Any number of languages is learned: their counts are gathered and sent in blocks of LANGUAGES, each a
+matrix of a fixed size, and a text is scored by one block after the other.
+
+Shapes of input with a defined result: a null or empty text, or one without a letter, is `und` with
+score 0; texts of any length are read whole, in runs of about a MB; training leaves out null ids, null
+texts and null languages; without any training text every text is `und`; of languages with equal
+scores the first by name is taken; null or repeated ids are given back as they are, repeated texts
+train as often as they come; an empty table gives no rows; other columns are ignored, whatever their
+names are.
 """
 
 import zlib
@@ -18,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import drop, written
 from ._words import U, mix, slices
 
-#: Columns of the matrix, sizes of the n-grams (in characters), bound on languages.
-BUCKETS, SIZES, MOST_LANGUAGES = 1 << 16, (1, 2, 3), 512
+#: Columns of the matrix, sizes of the n-grams (in characters), languages of a block.
+BUCKETS, SIZES, LANGUAGES = 1 << 16, (1, 2, 3), 32
 UNKNOWN = "und"
 
 
@@ -85,37 +91,48 @@ def held_out(ids: list) -> np.ndarray:
     return np.array([i is None or zlib.crc32(str(i).encode()) % 4 == 2 for i in ids], bool)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages in order and the float32 matrix (BUCKETS, languages) of log probabilities, the last row being the priors."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], list[np.ndarray]]:
+    """Languages in order, and for each block of them the float32 matrix (BUCKETS + 1, languages) of log probabilities, the last row being the priors."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         docs_of: dict[str, int] = {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for name, total in sums.items():
+                some = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * (len(some) + 1)), pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(total[some], docs_of[name]), pa.int64())], ["lang", "bucket", "n"])
+            sums.clear()
+            docs_of.clear()
+
         for batch in batches:
-            for rows, data, offsets in slices(batch, text_col):
+            for rows, data, offsets in slices(batch, "text"):
                 langs = np.array(rows.column("lang").to_pylist(), object)
                 bucket, owner, _ = grams(data, offsets)
                 for name in set(langs):
                     mine = langs == name
                     sums[name] = sums.get(name, 0) + np.bincount(bucket[mine[owner]], minlength=BUCKETS)
                     docs_of[name] = docs_of.get(name, 0) + int(mine.sum())
-                    if len(sums) > MOST_LANGUAGES:
-                        raise ValueError("too many languages")
-        for name, total in sums.items():
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * (len(some) + 1)), pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(total[some], docs_of[name]), pa.int64())], ["lang", "bucket", "n"])
-
-    learn = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias(text_col))
-    learn = learn.where(F.expr(f"lang is not null and `{text_col}` is not null and id is not null and crc32(cast(id as binary)) % 4 <> 2")).select("lang", text_col)
-    rows = learn.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    names = sorted(rows["lang"].unique())
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError("too many languages")
-    counts = np.zeros((BUCKETS + 1, len(names)))
-    counts[rows["bucket"].to_numpy(), rows["lang"].map({x: k for k, x in enumerate(names)}).to_numpy(int)] = rows["n"].to_numpy()
-    total = counts[:BUCKETS] + 0.5
-    out = np.vstack([np.log(total / total.sum(0)), np.log((counts[BUCKETS:] + 1) / (counts[BUCKETS:] + 1).sum())]) if names else np.zeros((BUCKETS + 1, 0))
-    return names, out.astype(np.float32)
+                    if len(sums) > 2 * LANGUAGES:
+                        yield from told()
+        yield from told()
+
+    learn = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
+    learn = learn.where("lang is not null and text is not null and id is not null and crc32(cast(id as binary)) % 4 <> 2").select("lang", "text")
+    counts = written(learn.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "grams")
+    documents = counts.where("bucket = -1").toPandas()  # a row for each language
+    names = sorted(documents["lang"])
+    every = documents["n"].sum() + len(names)
+    blocks = []
+    for k in range(0, len(names), LANGUAGES):
+        block = {x: j for j, x in enumerate(names[k : k + LANGUAGES])}
+        rows = counts.where(F.col("lang").isin(list(block))).toPandas()  # at most LANGUAGES * (BUCKETS + 1) rows
+        n = np.zeros((BUCKETS + 1, len(block)))
+        n[rows["bucket"].to_numpy(), rows["lang"].map(block).to_numpy(int)] = rows["n"].to_numpy()
+        total = n[:BUCKETS] + 0.5
+        blocks.append(np.vstack([np.log(total / total.sum(0)), np.log((n[BUCKETS:] + 1) / every)]).astype(np.float32))
+    drop(counts)
+    return names, blocks
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -124,31 +141,33 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     `score` is the posterior of the predicted language with the text's evidence per character
     n-gram spread over twenty of them, so that it tells sure from doubtful texts at any length.
     """
-    names, matrix = train(docs, id_col, text_col, lang_col)
-    sent = docs.sparkSession.sparkContext.broadcast(matrix)
+    names, blocks = train(docs, id_col, text_col, lang_col)
+    sent = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = sent.value
+        priors = np.concatenate([b.value[BUCKETS] for b in sent]) if sent else None
         for batch in batches:
-            for rows, data, offsets in slices(batch, text_col):
+            for rows, data, offsets in slices(batch, "text"):
                 n = rows.num_rows
                 bucket, owner, has = grams(data, offsets)
-                total = np.empty((n, len(names)))
-                for k in range(len(names)):
-                    total[:, k] = np.bincount(owner, logs[bucket, k], n)
+                total, k = np.empty((n, len(names))), 0
+                for b in sent:
+                    for column in range(b.value.shape[1]):
+                        total[:, k] = np.bincount(owner, b.value[bucket, column], n)
+                        k += 1
                 size = np.maximum(np.bincount(owner, minlength=n), 1)
                 if names:
-                    best = (total + logs[BUCKETS]).argmax(1)
-                    mean = 20 * total / size[:, None] + logs[BUCKETS]
+                    best = (total + priors).argmax(1)
+                    mean = 20 * total / size[:, None] + priors
                     mean = np.exp(mean - mean.max(1, keepdims=True))
                     score = np.where(has, mean[np.arange(n), best] / mean.sum(1), 0.0)
                     said = [names[b] if h else UNKNOWN for b, h in zip(best.tolist(), has.tolist())]
                 else:
                     score, said = np.zeros(n), [UNKNOWN] * n
-                yield pa.RecordBatch.from_arrays([rows.column(id_col), pa.array(held_out(rows.column(id_col).to_pylist())), pa.array(said, pa.string()), pa.array(score, pa.float64())], [id_col, "held_out", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(held_out(rows.column("id").to_pylist())), pa.array(said, pa.string()), pa.array(score, pa.float64())], ["id", "held_out", "lang_pred", "score"])
 
-    two = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
-    return two.mapInArrow(run, f"`{id_col}` long, held_out boolean, lang_pred string, score double")
+    two = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return two.mapInArrow(run, "id long, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
