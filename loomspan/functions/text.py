@@ -9,6 +9,11 @@ def words_on_space(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda w: w != "")
 
 
+def words_on_space_or_line(text: Column) -> Column:
+    """`words_on_space` of all lines of a text at once."""
+    return F.filter(F.split(text, "[ \n]"), lambda w: w != "")
+
+
 def words_on_white_space(text: Column) -> Column:
     """The non-empty parts between runs of white space."""
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")

@@ -46,7 +46,7 @@ def subtracted(p: Column, q: Column) -> Column:
     return F.zip_with(p, q, lambda a, b: a - b)
 
 
-def zeros(dim: int) -> Column:
+def zeros(dim: int | Column) -> Column:
     """The origin."""
     return F.array_repeat(F.lit(0.0), dim)
 

@@ -52,7 +52,12 @@ def divide_and_conquer(part, is_base: Callable, base: Callable, divide: Callable
 
 
 def solve_groups(df: DataFrame, key: str, value: str, is_base: Callable, base: Callable, divide: Callable, combine: Callable, kind: str) -> DataFrame:
-    """`key, value`: the recursive scheme on the list of each group's values, a group a task call."""
+    """`key, value`: the recursive scheme on the list of each group's values, a group a task call.
+
+    A group is one list in one Python worker (some hundred bytes a value), and the recursion is plain
+    Python: it is for keys of up to some hundred thousand values. Larger ones: `tree_fold` for
+    associative operations, `with_position` for sorts.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({key: [pdf[key].iloc[0]], "value": [divide_and_conquer(pdf[value].tolist(), is_base, base, divide, combine)]})

@@ -7,7 +7,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import lines_of, words_on_space, words_on_white_space
+from ..functions.text import words_on_space_or_line, words_on_white_space
 from .positions import with_position
 
 
@@ -62,12 +62,14 @@ def map_reduce_python(lines: DataFrame, mapper: Callable[[str], Iterable[tuple]]
     return parts.repartition("key").sortWithinPartitions("key", "part", "seq").select("key", "value").mapInPandas(fold, schema)
 
 
-def reduce_by_key_ordered(df: DataFrame, key: str, value: str, order: list[str], op: Callable[[Column, Column], Column], name: str = "value", chunk: int | None = None) -> DataFrame:
+def reduce_by_key_ordered(df: DataFrame, key: str, value: str, order: list[str], op: Callable[[Column, Column], Column], name: str = "value", chunk: int | None = 4096) -> DataFrame:
     """Fold of each key's values in a given total order by an associative operation that may not commute; the order decides, not the partitioning.
 
-    With `chunk`, rows are placed in order first and each run of so many neighbouring rows of a key
-    is folded alone, then the runs' results: a key with very many rows is spread over tasks and
-    its rows are never one list.
+    Rows are placed in order first and each run of `chunk` neighbouring rows of a key is folded
+    alone, then the runs' results in order: a key with very many rows is spread over tasks and its
+    rows are never one list. The result of an operation that joins its values (texts, lists) is as
+    long as they are. `chunk=None` saves the ordering where every key is known to have few rows: then
+    a key's rows are one list.
     """
     if chunk is None:
         return _fold_lists(df, [key], value, order, op).select(key, F.col("loomspan_v").alias(name))
@@ -86,6 +88,6 @@ def _fold_lists(df: DataFrame, keys: list[str], value: str, order: list[str], op
 
 def word_count(df: DataFrame, text_col: str = "text", white_space: bool = False) -> DataFrame:
     """`word, n` over all lines of a text column."""
-    split = words_on_white_space if white_space else words_on_space
-    words = lines_of(df, text_col).select(F.explode(split(F.col("value"))).alias("word"))
+    split = words_on_white_space if white_space else words_on_space_or_line
+    words = df.select(F.explode(split(F.col(text_col))).alias("word"))
     return words.groupBy("word").agg(F.count("*").alias("n"))

@@ -16,16 +16,34 @@ def with_position(df: DataFrame, order: list, position: str = "pos") -> DataFram
     are not sampled anew; then only one count for each range is summed up. The order must be total
     for the places to be the same on every run.
     """
+    placed, part = _ranged(df, order)
+    counts = placed.groupBy(part.alias("loomspan_part")).agg(F.count("*").alias("n"))
+    out = placed.withColumn("loomspan_part", part).join(F.broadcast(_before(counts)), "loomspan_part")
+    return out.withColumn(position, F.col("loomspan_before") + F.col("loomspan_at").bitwiseAND(F.lit(_MASK))).drop("loomspan_at", "loomspan_part", "loomspan_before")
+
+
+def running_total(df: DataFrame, order: list, value: str, name: str) -> DataFrame:
+    """`df` with the sum of a column up to and with each row in a given total order; only one sum for each range is put in one place."""
+    placed, part = _ranged(df, order)
+    placed = placed.withColumn("loomspan_part", part)
+    sums = placed.groupBy("loomspan_part").agg(F.sum(value).alias("n"))
+    inside = F.sum(value).over(W.partitionBy("loomspan_part").orderBy("loomspan_at").rowsBetween(W.unboundedPreceding, 0))
+    out = placed.withColumn("loomspan_inside", inside).join(F.broadcast(_before(sums)), "loomspan_part")
+    return out.withColumn(name, F.col("loomspan_before") + F.col("loomspan_inside")).drop("loomspan_at", "loomspan_part", "loomspan_before", "loomspan_inside")
+
+
+def _ranged(df: DataFrame, order: list) -> tuple[DataFrame, Column]:
+    """Rows in ranges of an order, written, with `loomspan_at` in that order, and the range of a row."""
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = [F.col(c) if isinstance(c, str) else c for c in order]
     placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("loomspan_at", F.monotonically_increasing_id())
-    placed = written(placed, "ordered")
-    part = F.shiftrightunsigned("loomspan_at", 33)
-    counts = placed.groupBy(part.alias("loomspan_part")).agg(F.count("*").alias("n"))
-    before = counts.select("loomspan_part", F.coalesce(F.sum("n").over(W.orderBy("loomspan_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("loomspan_before"))
-    # at most a row for each shuffle partition
-    out = placed.withColumn("loomspan_part", part).join(F.broadcast(before), "loomspan_part")
-    return out.withColumn(position, F.col("loomspan_before") + F.col("loomspan_at").bitwiseAND(F.lit(_MASK))).drop("loomspan_at", "loomspan_part", "loomspan_before")
+    return written(placed, "ordered"), F.shiftrightunsigned("loomspan_at", 33)
+
+
+def _before(parts: DataFrame) -> DataFrame:
+    """`loomspan_part, loomspan_before`: the sum of `n` over all ranges before each; at most a row for each shuffle partition."""
+    over = W.orderBy("loomspan_part").rowsBetween(W.unboundedPreceding, -1)
+    return parts.select("loomspan_part", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("loomspan_before"))
 
 
 def over_neighbours(df: DataFrame, position: str, before: int, after: int, columns: dict[str, callable], chunk: int = 1 << 17) -> DataFrame:

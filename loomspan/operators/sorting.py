@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .positions import over_neighbours, with_position
+from .positions import over_neighbours, running_total, with_position
 
 
 def sort_with_place(df: DataFrame, order: list, position: str = "pos") -> DataFrame:
@@ -21,15 +21,20 @@ def merge_runs(left: DataFrame, right: DataFrame, value: str, place: str) -> Dat
     return with_position(both, [value, "run", place])
 
 
-def equal_ranges(df: DataFrame, value: str, order: list[str]) -> DataFrame:
-    """For each value of a sorted run its first and last place: `value, first_pos, last_pos`."""
-    return with_position(df, order).groupBy(value).agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
+def equal_ranges(df: DataFrame, value: str) -> DataFrame:
+    """For each value its first and last place in the ascending order: `value, first_pos, last_pos`.
+
+    Rows are counted by value first; only distinct values are put in order, and their counts summed up.
+    """
+    counts = df.groupBy(value).agg(F.count("*").alias("loomspan_n"))
+    total = running_total(counts, [value], "loomspan_n", "loomspan_end")
+    return total.select(value, (F.col("loomspan_end") - F.col("loomspan_n")).alias("first_pos"), (F.col("loomspan_end") - 1).alias("last_pos"))
 
 
-def equal_range(df: DataFrame, value: str, order: list[str], x) -> DataFrame:
-    """The first place whose value is not below x and the last whose value is not above it; null if there is none."""
-    at = with_position(df, order)
-    return at.agg(F.min(F.when(F.col(value) >= x, F.col("pos"))).alias("first_pos"), F.max(F.when(F.col(value) <= x, F.col("pos"))).alias("last_pos"))
+def equal_range(df: DataFrame, value: str, x) -> DataFrame:
+    """The first place in the ascending order whose value is not below x and the last whose value is not above it; null if there is none. One scan counts them."""
+    below, to = F.count_if(F.col(value) < x), F.count_if(F.col(value) <= x)
+    return df.agg(F.when(below < F.count(value), below).alias("first_pos"), F.when(to > 0, to - 1).alias("last_pos"))
 
 
 def partition3(df: DataFrame, value: str, pivot) -> DataFrame:
@@ -39,12 +44,13 @@ def partition3(df: DataFrame, value: str, pivot) -> DataFrame:
 
 def order_violations(df: DataFrame, value: str, order: list[str], context: int = 10) -> DataFrame:
     """`pos, previous, value, around`: every place whose value is below the one before, with the values up to `context` before and after it."""
-    columns = {
-        "previous": lambda w: F.lag(value).over(w),
-        "around": lambda w: F.collect_list(value).over(w.rowsBetween(-context, context - 1)),
-    }
-    near = over_neighbours(with_position(df, order), "pos", context, context, columns)
-    return near.where(F.col(value) < F.col("previous")).select("pos", "previous", F.col(value).alias("value"), "around")
+    placed = with_position(df, order).select("pos", F.col(value).alias("value"))
+    near = over_neighbours(placed, "pos", 1, 0, {"previous": lambda w: F.lag("value").over(w)})
+    found = near.where(F.col("value") < F.col("previous")).select("pos", "previous", "value")
+    # the values around are fetched for these places only
+    asked = found.select(F.col("pos").alias("of"), F.explode(F.sequence(F.col("pos") - context, F.col("pos") + context - 1)).alias("pos"))
+    around = asked.join(placed, "pos").groupBy("of").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("around"))
+    return found.join(around, found["pos"] == around["of"]).select("pos", "previous", "value", F.col("around.value").alias("around"))
 
 
 def is_sorted(df: DataFrame, value: str, order: list[str]) -> DataFrame:

@@ -60,6 +60,7 @@ def read_operator(spark: SparkSession, path: str) -> str:
     return " ".join(x for x in lines if x.strip() and not x.lstrip().startswith("--"))
 
 
-def latest(df: DataFrame, order: list[str]) -> DataFrame:
-    """The row of the newest window."""
-    return df.orderBy(*[F.col(c).desc() for c in order]).limit(1)
+def latest(df: DataFrame, k: int, order: list[str], aggregates: dict[str, Callable[[], Column]]) -> DataFrame:
+    """The row of the newest window of `window_reduce`: only the last k rows are kept of each task, and folded; no row if there are fewer."""
+    last = df.orderBy(*[F.col(c).desc() for c in order]).limit(k)
+    return window_reduce(last.withColumn("loomspan_one", F.lit(0)), k, order, aggregates, ["loomspan_one"]).drop("loomspan_one")
