@@ -4,11 +4,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bands of colours have this many counts.
-BAND = 256
+#: Bands of colours have this many counts; the square of the distance at which a point has escaped.
+BAND, BOUND2 = 256, 1600.0
 
 
 def pixels(spark: SparkSession, width: int, height: int, x: float, y: float, size_x: float, size_y: float) -> DataFrame:
@@ -42,13 +42,27 @@ def compute(grid: DataFrame, kind: Callable[[np.ndarray, np.ndarray], np.ndarray
     return grid.withColumn("n", value("cx", "cy"))
 
 
-def mandelbrot(grid: DataFrame, max_iter: int = 1600, escape2: float = 1600.0) -> DataFrame:
+def escape_counts_of(cx: Column, cy: Column, max_iter: Column, escape2: Column) -> Column:
+    """`escape_counts` as a column, with a bound on iterations that may differ from row to row."""
+
+    @F.pandas_udf("int")
+    def value(x: pd.Series, y: pd.Series, most: pd.Series, bound: pd.Series) -> pd.Series:
+        out = np.zeros(len(x), np.int32)
+        for m in np.unique(most):
+            mine = (most == m).to_numpy()
+            out[mine] = escape_counts(x[mine].to_numpy(), y[mine].to_numpy(), int(m), float(bound.iloc[0]))
+        return pd.Series(out)
+
+    return value(cx, cy, max_iter, escape2)
+
+
+def mandelbrot(grid: DataFrame, max_iter: int = 1600, escape2: float = BOUND2) -> DataFrame:
     """`row, col, n` of the escape-time fractal."""
     return compute(grid, lambda x, y: escape_counts(x, y, max_iter, escape2)).select("row", "col", "n")
 
 
 def colours(counts: DataFrame) -> DataFrame:
-    """Adds `r, g, b`: black to red, red to yellow, yellow to green and so on, a band of counts each; white above."""
+    """Adds `r, g, b`, a band of counts each: black to red, black to green, black to blue, blue to magenta, magenta to white; white above."""
     n = F.col("n")
     below = lambda k: n < k * BAND
     r = F.when(below(1), n).when(below(2), 0).when(below(3), 0).when(below(4), n - 3 * BAND).when(below(5), 255).otherwise(255)

@@ -6,6 +6,7 @@ the current centres, never an earlier round's result, so the lineage stays flat.
 """
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from itertools import count as counted
 
@@ -43,7 +44,8 @@ def round_robin(k: int) -> Column:
 
 def scattered(k: int, seed: int) -> Column:
     """A seeded pseudo-random initial assignment that depends on the id alone, so it is the same on every read."""
-    return F.pmod(F.shiftrightunsigned((F.col("point_id") * 1103515245 + 12345 * (seed + 1)).bitwiseAND(F.lit((1 << 31) - 1)), 8), F.lit(k)).cast("int")
+    low = F.lit((1 << 31) - 1)  # only these bits of the product count, so only these of the id: no product leaves 64 bits
+    return F.pmod(F.shiftrightunsigned((F.col("point_id").bitwiseAND(low) * 1103515245 + 12345 * (seed + 1)).bitwiseAND(low), 8), F.lit(k)).cast("int")
 
 
 def _matrix(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -204,7 +206,16 @@ def changed_count(new: DataFrame, old: DataFrame) -> DataFrame:
     return both.agg(F.sum((F.col("a") != F.col("b")).cast("long")).alias("changed"), F.bool_or(F.col("a") != F.col("b")).alias("any_changed"))
 
 
-def trials(df: DataFrame, k: int, count: int, start: Callable[[int], Column] | None = None, **options) -> list[tuple[int, Clustering]]:
-    """Restarts from seeded assignments; the results of all that succeed, by trial."""
-    made = [(t, kmeans(df, k, (start or (lambda t: scattered(k, t)))(t), **options)) for t in range(count)]
+def trials(df: DataFrame, k: int, count: int, start: Callable[[int], Column] | None = None, parallel: int = 1, **options) -> list[tuple[int, Clustering]]:
+    """Restarts from seeded assignments; the results of all that succeed, by trial.
+
+    `parallel` trials run at a time: their jobs share the executors, as the driver only waits for sums.
+    """
+    begin = start or (lambda t: scattered(k, t))
+    df = df.persist()  # the points are read once for all trials
+    try:
+        with ThreadPoolExecutor(max(1, parallel)) as pool:
+            made = list(pool.map(lambda t: (t, kmeans(df, k, begin(t), keep=False, **options)), range(count)))
+    finally:
+        df.unpersist()
     return [(t, c) for t, c in made if c is not None]

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable
 from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _KINDS: dict[str, Callable] = {"int": int, "float": float, "double": float, "string": str}
 _NUMBER = {"int": re.compile(r"-?[0-9]+"), "float": re.compile(r"-?(?:[0-9]+(?:\.[0-9]+)?|\.[0-9]+)"), "string": re.compile(r"[^,\[\]]+")}
@@ -72,21 +73,28 @@ def parse_options(arguments: Iterable[str], kinds: dict[str, str], assign: str =
     return out
 
 
+def _kind(values: list) -> str:
+    return "string" if isinstance(values[0], str) else "double" if any(isinstance(v, float) for v in values) else "bigint"
+
+
 def values_table(spark: SparkSession, name: str, values: list) -> DataFrame:
     """`ord, <name>`: the values of one parameter in order."""
-    kind = "string" if isinstance(values[0], str) else "double" if any(isinstance(v, float) for v in values) else "long"
+    kind = _kind(values)
     rows = [(k, float(v) if kind == "double" else v) for k, v in enumerate(values)]
     return spark.createDataFrame(rows, f"ord long, {name} {kind}")
 
 
 def grid(spark: SparkSession, parameters: dict[str, list]) -> DataFrame:
-    """Every combination of parameter values, with `config` numbered in nested-loop order, the last name fastest."""
-    out, size = spark.createDataFrame([(0,)], "config long"), 1
-    for name, values in parameters.items():
-        part = values_table(spark, name, values)
-        out = out.crossJoin(part).withColumn("config", out["config"] * len(values) + part["ord"]).drop("ord")
+    """Every combination of parameter values, with `config` numbered in nested-loop order, the last name fastest.
+
+    A configuration's values are looked up by its number, so nothing is joined.
+    """
+    size, columns = 1, {}
+    for name, values in reversed(parameters.items()):
+        place = F.pmod(F.floor(F.col("config") / size), F.lit(len(values))).cast("int")
+        columns[name] = F.get(F.array(*map(F.lit, values)), place).cast(_kind(values))
         size *= len(values)
-    return out
+    return spark.range(size).select(F.col("id").alias("config")).select("config", *[columns[n].alias(n) for n in parameters])
 
 
 def sweep(parameters: dict[str, list], run: Callable[..., bool | None]) -> list[dict]:
@@ -102,40 +110,96 @@ def sweep(parameters: dict[str, list], run: Callable[..., bool | None]) -> list[
     return rows
 
 
-#: Options of the sort experiment; `result` and `result.file`, and `log` and `log.file`, mean the same.
-SORT_OPTIONS = {"threads": "int", "threshold": "int", "input": "string", "ratio": "int", "chrono": "int", "result": "string", "result.file": "string", "report": "string", "report.file": "string", "log": "string", "log.file": "string", "log.dim": "int"}
+#: Options of the sort experiment; `result`, `report` and `log` are the same as with `.file`.
+SORT_OPTIONS = {"threads": "int", "threshold": "int", "input": "string", "ratio": "string", "chrono": "int", "result": "string", "result.file": "string", "report": "string", "report.file": "string", "log": "string", "log.file": "string", "log.dim": "int"}
+
+
+def parse_ratio(text: str) -> tuple[int, int]:
+    """The two parts of `alpha:beta`, by which a run is divided."""
+    found = re.fullmatch(r"([0-9]+):([0-9]+)", text)
+    if not found or not int(found[1]) or not int(found[2]):
+        raise ValueError(f"not a ratio alpha:beta of positive numbers: {text}")
+    return int(found[1]), int(found[2])
+
+
+def _one(options: dict[str, list], name: str):
+    """The last value of an option or of its `.file` form; None if neither is given."""
+    found = [*options.get(name, []), *options.get(name + ".file", [])]
+    return found[-1] if found else None
 
 
 def sort_experiment(spark: SparkSession, options: dict[str, list]) -> DataFrame:
-    """`input, threads, threshold, size, chrono`: sorts each input for each setting.
+    """`input, threads, threshold, size, chrono, parameters`: sorts each input for each setting.
 
-    `threads` sets the number of ranges; thresholds (where a recursion would go on alone) change
-    nothing here but the row's label.
+    `threads` sets the number of ranges. Thresholds and ratios (where and how a recursion would
+    divide) change nothing here but the row's `parameters`, as ranges are sampled. Options: `result`
+    names a folder for the sorted numbers of the last setting, `report` one to which report rows are
+    added (with `chrono=0` without times), `log` a text folder with a line for each sort; `log.dim`
+    says how many of the sorted numbers it shows.
     """
+    from ..sinks.files import report_csv
     from ..sources.files import int_file
 
-    rows = []
+    unknown = [n for n in options if n not in SORT_OPTIONS]
+    if unknown:
+        raise ValueError(f"unknown options: {', '.join(unknown)}")
+    ratio = ":".join(map(str, parse_ratio(options["ratio"][-1]))) if options.get("ratio") else "1:1"
+    result, report, log = (_one(options, n) for n in ("result", "report", "log"))
+    shown = (options.get("log.dim") or [0])[-1]
+    rows, notes = [], []
 
-    def run(input: str, threads: int, threshold: int) -> None:
+    def run(input: str, threshold: int, threads: int) -> None:
         data = int_file(spark, input)
         rows.append(data.count())
-        data.repartitionByRange(max(1, threads), "v", "pos").sortWithinPartitions("v", "pos").write.format("noop").mode("overwrite").save()
+        sorted_ = data.repartitionByRange(max(1, threads), "v", "pos").sortWithinPartitions("v", "pos")
+        if result:
+            sorted_.select(F.col("v").cast("string")).write.mode("overwrite").text(result)
+        else:
+            sorted_.write.format("noop").mode("overwrite").save()
+        if log:
+            first = [str(r["v"]) for r in data.orderBy("v", "pos").limit(shown).collect()] if shown else []
+            notes.append((f"input={input} threads={threads} threshold={threshold} size={rows[-1]}" + "".join(" " + x for x in first),))
 
     chosen = {"input": options["input"], "threshold": options.get("threshold", [0]), "threads": options.get("threads", [1])}
     timed = sweep(chosen, run)
-    return spark.createDataFrame([(r["input"], r["threads"], r["threshold"], n, r["chrono"]) for r, n in zip(timed, rows)], "input string, threads int, threshold int, size long, chrono double")
+    made = [(r["input"], r["threads"], r["threshold"], n, r["chrono"], f"ratio={ratio}") for r, n in zip(timed, rows)]
+    out = spark.createDataFrame(made, "input string, threads int, threshold int, size long, chrono double, parameters string")
+    if report:
+        wanted = ["threads", "size", "threshold", "chrono", "parameters"]
+        report_csv(out, report, [c for c in wanted if c != "chrono" or (options.get("chrono") or [1])[-1]])
+    if log:
+        spark.createDataFrame(notes, "value string").coalesce(1).write.mode("overwrite").text(log)
+    return out
+
 
+#: Parameters of a fractal configuration, and those that have a value of their own where none is given.
+FRACTAL = ["threshold", "threads", "pixelX", "pixelY", "grain", "X", "Y", "sizeX", "sizeY"]
 
-def fractal_sweep(spark: SparkSession, parameters: dict[str, list], max_iter: int = 100, owners: int = 4) -> DataFrame:
-    """`config, owner, tiles, total, most` and the parameters: tile statistics of a fractal for every combination of pixelX, pixelY, grain, X, Y, sizeX, sizeY."""
-    from functools import reduce
 
-    from ..operators.grid import mandelbrot, pixels, tile_stats
-    from pyspark.sql import functions as F
+def fractal_sweep(spark: SparkSession, parameters: dict[str, list], max_iter: int = 100) -> DataFrame:
+    """`config, owner, tiles, total, most` and the parameters: tile statistics of a fractal for every combination of FRACTAL.
 
-    made = []
-    for config, values in enumerate(product(*parameters.values())):
-        p = dict(zip(parameters, values))
-        counts = mandelbrot(pixels(spark, p["pixelX"], p["pixelY"], p["X"], p["Y"], p["sizeX"], p["sizeY"]), max_iter)
-        made.append(tile_stats(counts, p["grain"], p["pixelX"], owners).withColumns({"config": F.lit(config)} | {k: F.lit(v) for k, v in p.items()}))
-    return reduce(DataFrame.unionByName, made)
+    `threshold` is the bound on iterations (`max_iter` if it isn't given), `threads` the owners that
+    tiles are dealt to (4). One plan for all combinations: each row of their table makes its own pixels.
+    """
+    from ..operators.grid import BOUND2, escape_counts_of
+
+    given = {"threshold": [max_iter], "threads": [4]} | parameters
+    unknown = [n for n in given if n not in FRACTAL]
+    if unknown:
+        raise ValueError(f"not parameters of a fractal: {', '.join(unknown)}")
+    names = [n for n in FRACTAL if n in given]
+    configs = grid(spark, {n: given[n] for n in names}).select("config", *names)
+    rows = configs.select("*", F.explode(F.sequence(F.lit(0), F.col("pixelY").cast("int") - 1)).alias("row"))
+    # one configuration's rows of pixels are dealt to many tasks
+    rows = rows.repartition("config", "row")
+    pixels = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("pixelX").cast("int") - 1)).alias("col"))
+    cx = F.col("X").cast("double") + F.col("col") * F.col("sizeX").cast("double") / F.col("pixelX")
+    cy = F.col("Y").cast("double") + F.col("row") * F.col("sizeY").cast("double") / F.col("pixelY")
+    counts = pixels.withColumn("n", escape_counts_of(cx, cy, F.col("threshold").cast("int"), F.lit(BOUND2)))
+    across = F.ceil(F.col("pixelX") / F.col("grain"))
+    tile = F.floor(F.col("row") / F.col("grain")) * across + F.floor(F.col("col") / F.col("grain"))
+    by_tile = counts.groupBy("config", *names, tile.alias("tile")).agg(F.sum(F.col("n").cast("long")).alias("total"))
+    by_owner = by_tile.groupBy("config", *names, (F.col("tile") % F.col("threads")).cast("int").alias("owner")).agg(F.count("*").alias("tiles"), F.sum("total").alias("total"))
+    most = by_owner.groupBy("config").agg(F.max("total").alias("most"))
+    return by_owner.join(most, "config").select("config", *names, "owner", "tiles", "total", "most")

@@ -8,6 +8,8 @@ lineage and survives lost executors, unlike a local checkpoint.
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,6 +52,17 @@ def drop(*tables: DataFrame) -> None:
             _MADE[:] = [x for x in _MADE if x[1] != path]
 
 
+@contextmanager
+def passing() -> Iterator[list[DataFrame]]:
+    """Tables that are made inside are deleted at its end, but for those put in the list: for a result that is written there."""
+    before, keep = {path for _, path in _MADE}, []
+    yield keep
+    kept = {getattr(t, "_loomspan_path", None) for t in keep}
+    for spark, path in [x for x in _MADE if x[1] not in before | kept]:
+        _delete(spark, path)
+        _MADE.remove((spark, path))
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
     where = jvm.org.apache.hadoop.fs.Path(path)

@@ -2,6 +2,7 @@
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,29 +36,41 @@ def stream_word_count(stream: DataFrame, text_col: str = "text") -> DataFrame:
     return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
-def count_windows(stream: DataFrame, k: int, key: str, order: list[str], value: str, op: Callable, kind: str = "double") -> DataFrame:
+def _folds(values: np.ndarray | list, k: int, op: Callable | str) -> list:
+    """The fold of each run of k values, oldest first."""
+    if isinstance(op, str):
+        runs = np.lib.stride_tricks.sliding_window_view(np.asarray(values), k)
+        return getattr(runs, op)(1).tolist()
+    out = []
+    for end in range(k, len(values) + 1):
+        total = values[end - k]
+        for x in values[end - k + 1 : end]:
+            total = op(total, x)
+        out.append(total)
+    return out
+
+
+def count_windows(stream: DataFrame, k: int, key: str, order: list[str], value: str, op: Callable | str, kind: str = "double") -> DataFrame:
     """`<key>, <order>, result`: for each row the fold of the last k values of its key, oldest first, from the k-th row on.
 
-    The state of a key is its last k - 1 values. Rows are put in order inside a micro-batch;
+    The operation is "sum", "min" or "max", for which numpy folds all windows at once, or a function
+    of two values. The state of a key is its last k - 1 values. Rows are put in order inside a
+    micro-batch, where a key's rows are held at once (the source's files per batch bound them);
     across micro-batches the order is that of arrival.
     """
+    if isinstance(op, str) and op not in ("sum", "min", "max"):
+        raise ValueError(f"no such operation: {op}")
     fields = {f.name: f.dataType.simpleString() for f in stream.schema}
     out = ", ".join(f"{c} {fields[c]}" for c in [key, *order]) + f", result {kind}"
 
     def run(_, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(parts)).sort_values(order, kind="stable")
-        results = []
-        for at, v in zip(rows[[key, *order]].itertuples(index=False, name=None), rows[value].tolist()):
-            held.append(v)
-            if len(held) >= k:
-                held = held[-k:]
-                total = held[0]
-                for x in held[1:]:
-                    total = op(total, x)
-                results.append((*at, total))
+        early = max(0, k - 1 - len(held))
+        held += rows[value].tolist()
+        out_rows = rows[[key, *order]].iloc[early:]
         state.update((held[-(k - 1) :] if k > 1 else [],))
-        yield pd.DataFrame(results, columns=[key, *order, "result"])
+        yield out_rows.assign(result=_folds(held, k, op) if len(held) >= k else [])
 
     picked = stream.select(key, *order, value)
     return picked.groupBy(key).applyInPandasWithState(run, out, f"held array<{fields[value]}>", "append", GroupStateTimeout.NoTimeout)
