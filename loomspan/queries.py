@@ -117,8 +117,8 @@ def window_fold_by_user_k4(spark, sf_dir):
 
 @query(f"SELECT event_id, round(s, 4) AS window_sum FROM (SELECT ts, event_id, sum(value) {_FRAME} AS s, {_NUMBERED} AS n FROM events) WHERE n >= 10 ORDER BY ts DESC, event_id DESC LIMIT 1")
 def window_latest(spark, sf_dir):
-    out = windows.window_reduce(table(spark, sf_dir, "events").select("event_id", "ts", "value"), 10, ["ts", "event_id"], {"s": lambda: F.sum("value")})
-    return windows.latest(out, ["ts", "event_id"]).select("event_id", F.round("s", 4).alias("window_sum"))
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "value")
+    return windows.latest(events, 10, ["ts", "event_id"], {"s": lambda: F.sum("value")}).select("event_id", F.round("s", 4).alias("window_sum"))
 
 
 # sorts
@@ -141,12 +141,12 @@ def merge_runs(spark, sf_dir):
 
 @query("SELECT l_quantity, min(pos) AS first_pos, max(pos) AS last_pos FROM (SELECT l_quantity, row_number() OVER (ORDER BY l_quantity, l_orderkey, l_linenumber) - 1 AS pos FROM lineitem) GROUP BY l_quantity")
 def equal_ranges(spark, sf_dir):
-    return sorting.equal_ranges(table(spark, sf_dir, "lineitem").select("l_quantity", "l_orderkey", "l_linenumber"), "l_quantity", ["l_quantity", "l_orderkey", "l_linenumber"])
+    return sorting.equal_ranges(table(spark, sf_dir, "lineitem"), "l_quantity")
 
 
 @query("SELECT min(CASE WHEN o_totalprice >= 100000 THEN pos END) AS first_pos, max(CASE WHEN o_totalprice <= 100000 THEN pos END) AS last_pos FROM (SELECT o_totalprice, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS pos FROM orders)")
 def equal_range(spark, sf_dir):
-    return sorting.equal_range(table(spark, sf_dir, "orders").select("o_totalprice", "o_orderkey"), "o_totalprice", ["o_totalprice", "o_orderkey"], 100000)
+    return sorting.equal_range(table(spark, sf_dir, "orders"), "o_totalprice", 100000)
 
 
 @query("SELECT o_orderkey, CAST(sign(o_totalprice - 150000) AS INTEGER) AS part FROM orders")
@@ -164,9 +164,21 @@ def order_violations(spark, sf_dir):
     return out.withColumn("around", vectors.listed(F.col("around").cast("array<bigint>")))
 
 
-@query("SELECT min(CAST(coalesce(v >= p, true) AS INTEGER)) = 1 AS sorted FROM (SELECT o_orderkey AS v, lag(o_orderkey) OVER (ORDER BY o_orderkey) AS p FROM orders)")
+def _sorted_sql(value: str) -> str:
+    return f"SELECT bool_and(coalesce(v >= p, true)) AS sorted FROM (SELECT {value} AS v, lag({value}) OVER (ORDER BY o_orderkey) AS p FROM orders)"
+
+
+@query(_sorted_sql("o_orderkey // 7"))
 def is_sorted(spark, sf_dir):
-    return sorting.is_sorted(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", ["o_orderkey"])
+    """A value that follows the order without being it."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.floor(F.col("o_orderkey") / 7).alias("v"))
+    return sorting.is_sorted(orders, "v", ["o_orderkey"])
+
+
+@query(_sorted_sql("o_totalprice"))
+def is_sorted_by_another(spark, sf_dir):
+    """Prices do not follow the keys."""
+    return sorting.is_sorted(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", ["o_orderkey"])
 
 
 # parameters and generators
@@ -199,12 +211,36 @@ def generated_batches(spark, sf_dir):
     return streams.pipeline(generators.batches(spark, 500, 100, F.col("id")), lambda x: x + 1, lambda x: 2 * x)
 
 
-@query()
+def _bits(seed: int, digits: int) -> str:
+    return f"CAST('0x' || substr(md5('{seed}:' || id), 1, {digits}) AS BIGINT)"
+
+
+def _uniform(seed: int) -> str:
+    return f"(({_bits(seed, 13)} + 0.5::DOUBLE) / {1 << 52}::DOUBLE)"
+
+
+def _normal(seed: int) -> str:
+    return f"(sqrt(-2 * ln({_uniform(seed)})) * cos(2 * pi() * {_uniform(seed + 1_000_003)}))"
+
+
+@query(f"SELECT id // 100 AS batch_id, id % 100 AS pos, round({_uniform(3)} * 2 - 1, 9) AS value FROM range(50000) t(id)")
+def generated_uniform(spark, sf_dir):
+    return generators.batches(spark, 500, 100, seed=3).withColumn("value", F.round("value", 9))
+
+
+_CENTRES, _SPREAD = generators.blob_centres(3, 5, 11)
+
+
+@query(
+    f"""SELECT id AS point_id, {", ".join(f"round(CAST(CAST(c[{j + 1}] + s * {_normal(12 + j)} AS FLOAT) AS DOUBLE), 3) AS x{j}" for j in range(3))}, 1::DOUBLE AS weight
+    FROM (SELECT id, ({_CENTRES}::DOUBLE[][])[k] AS c, ({_SPREAD}::DOUBLE[])[k] AS s FROM (SELECT id, CAST(floor({_uniform(11)} * 5) AS INTEGER) + 1 AS k FROM range(20000) t(id)))"""
+)
 def gaussian_blobs(spark, sf_dir):
-    return generators.gaussian_blobs(spark, 20_000, 3, 5, seed=11)
+    made = generators.gaussian_blobs(spark, 20_000, 3, 5, seed=11)
+    return made.select("point_id", *[F.round(F.get("coords", F.lit(j)).cast("double"), 3).alias(f"x{j}") for j in range(3)], "weight")
 
 
-@query()
+@query(f"SELECT id AS pos, CAST({_bits(5, 8)} - 2147483648 AS INTEGER) AS v FROM range(100000) t(id)")
 def random_ints(spark, sf_dir):
     return generators.random_ints(spark, 100_000, seed=5)
 
@@ -243,10 +279,17 @@ def tile_stats(spark, sf_dir):
     return grid.tile_stats(_counts(spark), 16, _GRID[0], 5)
 
 
-@query()
+@query("""WITH RECURSIVE cf AS (SELECT t * 12 + n * 4 + p * 2 + g AS config, 20 + 20 * t AS threshold, 2 + n AS threads, 32 + 32 * p AS pixelX, 32 AS pixelY, 8 + 8 * g AS grain FROM range(2) a(t), range(3) b(n), range(2) c(p), range(2) d(g)),
+sizes AS (SELECT DISTINCT threshold, pixelX, pixelY FROM cf),
+px AS (SELECT threshold, pixelX, y AS row, x AS col, -2::DOUBLE + x * 2.5::DOUBLE / pixelX AS cx, -1.25::DOUBLE + y * 2.5::DOUBLE / pixelY AS cy FROM sizes, range(64) u(x), range(32) v(y) WHERE x < pixelX),
+it AS (SELECT *, 0 AS n, 0::DOUBLE AS re, 0::DOUBLE AS im FROM px UNION ALL SELECT threshold, pixelX, row, col, cx, cy, n + 1, (re * re - im * im) + cx, (2 * re) * im + cy FROM it WHERE n < threshold AND re * re + im * im <= 1600),
+counts AS (SELECT threshold, pixelX, row, col, max(n) AS n FROM it GROUP BY ALL),
+tiles AS (SELECT config, (row // grain) * (pixelX // grain) + col // grain AS tile, sum(n) AS total FROM cf JOIN counts USING (threshold, pixelX) GROUP BY ALL),
+owners AS (SELECT config, CAST(tile % threads AS INTEGER) AS owner, count(*) AS tiles, CAST(sum(total) AS BIGINT) AS total FROM tiles JOIN cf USING (config) GROUP BY ALL)
+SELECT config, threshold, threads, pixelX, pixelY, grain, owner, tiles, total, max(total) OVER (PARTITION BY config) AS most FROM owners JOIN cf USING (config)""")
 def fractal_sweep(spark, sf_dir):
-    values = {"pixelX": [32, 64], "pixelY": [32], "grain": [8, 16], "X": [-2.0], "Y": [-1.25], "sizeX": [2.5], "sizeY": [2.5]}
-    return params.fractal_sweep(spark, values, max_iter=40)
+    values = {"threshold": [20, 40], "threads": [2, 3, 4], "pixelX": [32, 64], "pixelY": [32], "grain": [8, 16], "X": [-2.0], "Y": [-1.25], "sizeX": [2.5], "sizeY": [2.5]}
+    return params.fractal_sweep(spark, values).drop("X", "Y", "sizeX", "sizeY")
 
 
 # k-means
@@ -368,7 +411,7 @@ def _trials_sql() -> str:
 @query(_trials_sql())
 def kmeans_trials(spark, sf_dir):
     points = _points(spark, sf_dir)
-    made = [_clustered(points, c).withColumn("trial", F.lit(t)) for t, c in kmeans.trials(points, K, 2, max_iter=3)]
+    made = [_clustered(points, c).withColumn("trial", F.lit(t)) for t, c in kmeans.trials(points, K, 2, parallel=2, max_iter=3)]
     return made[0].union(made[1]) if len(made) == 2 else made[0]
 
 
@@ -376,7 +419,7 @@ def kmeans_trials(spark, sf_dir):
 def kmeans_trials_converged(spark, sf_dir):
     """kmeans_trials, whose SQL unrolls three rounds, until no assignment changes."""
     points = _points(spark, sf_dir)
-    made = [_converged(points, c).withColumn("trial", F.lit(t)) for t, c in kmeans.trials(points, K, 2)]
+    made = [_converged(points, c).withColumn("trial", F.lit(t)) for t, c in kmeans.trials(points, K, 2, parallel=2)]
     return made[0].union(made[1]) if len(made) == 2 else made[0]
 
 
@@ -407,7 +450,7 @@ def stream_word_count(spark, sf_dir):
 @query("SELECT user_id, ts, event_id, round(s, 4) AS result FROM (SELECT user_id, ts, event_id, sum(value) OVER w AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) WHERE n >= 10")
 def stream_window_k10(spark, sf_dir):
     stream = streams.file_stream(spark, f"{sf_dir}/events.parquet")
-    out = streams.run_to_table(streams.count_windows(stream, 10, "user_id", ["ts", "event_id"], "value", lambda a, b: a + b), "stream-window")
+    out = streams.run_to_table(streams.count_windows(stream, 10, "user_id", ["ts", "event_id"], "value", "sum"), "stream-window")
     return out.withColumn("result", F.round("result", 4))
 
 
@@ -438,3 +481,110 @@ def word_count_text(spark, sf_dir):
     path = scratch.new_path(spark, "words")
     sinks.key_value_text(word_count(spark, sf_dir), "word", "n", path)
     return spark.read.schema("value string").text(path)
+
+
+# files, written and read back
+
+
+def _lines(spark, df: DataFrame, name: str) -> str:
+    """The path of a text folder with the column `value`."""
+    path = scratch.new_path(spark, name)
+    df.select("value").write.text(path)
+    return path
+
+
+@query("SELECT count(*) AS n, min(line_no) AS first, max(line_no) AS last, count(DISTINCT value) AS kinds FROM (SELECT n_name AS value, row_number() OVER (ORDER BY n_nationkey) - 1 AS line_no FROM nation)")
+def text_lines_back(spark, sf_dir):
+    """Lines of one file with their places; nation has as many rows at every size."""
+    path = _lines(spark, table(spark, sf_dir, "nation").orderBy("n_nationkey").select(F.col("n_name").alias("value")).coalesce(1), "names")
+    got = files.text_lines(spark, path)
+    return got.agg(F.count("*").alias("n"), F.min("line_no").alias("first"), F.max("line_no").alias("last"), F.count_distinct("value").alias("kinds"))
+
+
+@query("SELECT CAST(c_nationkey AS DOUBLE) AS x, round(CAST(CAST(c_acctbal AS FLOAT) AS DOUBLE), 2) AS y, 1::DOUBLE AS weight FROM customer")
+def point_file_back(spark, sf_dir):
+    lines = table(spark, sf_dir, "customer").select(F.concat_ws(" \t", F.col("c_nationkey"), F.col("c_acctbal")).alias("value"))
+    got = files.point_file(spark, _lines(spark, lines, "points"))
+    return got.select(F.get("coords", F.lit(0)).cast("double").alias("x"), F.round(F.get("coords", F.lit(1)).cast("double"), 2).alias("y"), "weight")
+
+
+def _key_files(spark, sf_dir) -> str:
+    path = scratch.new_path(spark, "keys")
+    sinks.sorted_files(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("v"), "o_orderkey"), ["v", "o_orderkey"], path)
+    return path
+
+
+@query("SELECT 2 * place + side AS pos, CAST(CASE side WHEN 0 THEN v ELSE o_orderkey END AS INTEGER) AS v FROM (SELECT o_custkey AS v, o_orderkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS place FROM orders), range(2) r(side)")
+def int_file_back(spark, sf_dir):
+    """Sorted rows as text in global order, read as integers in the order of the files."""
+    return files.int_file(spark, _key_files(spark, sf_dir))
+
+
+@query("SELECT o_orderstatus AS status, o_custkey || ' ' || o_orderkey AS value FROM orders")
+def sorted_files_back(spark, sf_dir):
+    path = scratch.new_path(spark, "sorted")
+    orders = table(spark, sf_dir, "orders").select("o_orderstatus", "o_custkey", "o_orderkey")
+    sinks.sorted_files(orders, ["o_custkey", "o_orderkey"], path, ["o_orderstatus"])
+    return spark.read.schema("value string, o_orderstatus string").text(path).select(F.col("o_orderstatus").alias("status"), "value")
+
+
+@query("SELECT n_nationkey AS size, n_regionkey * 0.5::DOUBLE AS chrono, n_name AS parameters FROM nation, range(2)")
+def report_csv_back(spark, sf_dir):
+    """Report rows, added twice."""
+    path = scratch.new_path(spark, "report")
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("size"), (F.col("n_regionkey") * 0.5).alias("chrono"), F.col("n_name").alias("parameters"))
+    for _ in range(2):
+        sinks.report_csv(rows, path, ["size", "chrono", "parameters"])
+    return spark.read.schema("size int, chrono double, parameters string").csv(path, sep=";", header=True)
+
+
+@query(f"WITH {_rounds(3)} SELECT 0 AS trial, cluster_id, count(*) AS n FROM a3 GROUP BY ALL")
+def plot_files_back(spark, sf_dir):
+    """Points of each cluster, counted in the plot files that a point file and a report give."""
+    points = _points(spark, sf_dir)
+    found = kmeans.kmeans(points, K, kmeans.round_robin(K), max_iter=3)
+    report, out = scratch.new_path(spark, "report"), scratch.new_path(spark, "plot")
+    sinks.cluster_report(kmeans.assign(points, found.centres, found.moved), found, report)
+    lines = points.orderBy("point_id").select(F.concat_ws(" ", F.col("coords").cast("array<string>")).alias("value")).coalesce(1)
+    sinks.plot_files(spark, _lines(spark, lines, "points"), report, out)
+    got = spark.read.schema("value string, trial int").text(out)
+    return got.groupBy("trial", F.element_at(F.split("value", " "), -1).cast("int").alias("cluster_id")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_rounds(3, 'CASE WHEN point_id = (SELECT min(point_id) FROM x) THEN 1 ELSE 0 END')} SELECT point_id, cluster_id, round(dist, 6) AS dist FROM a3")
+def kmeans_repair(spark, sf_dir):
+    """All points start in one of two clusters, so the point of least id is moved to the empty one."""
+    points = _points(spark, sf_dir)
+    return _clustered(points, kmeans.kmeans(points, 2, F.lit(0), max_iter=3))
+
+
+@query(f"SELECT event_id, s AS folded FROM (SELECT event_id, CAST(sum(user_id) {_FRAME} AS BIGINT) AS s, {_NUMBERED} AS n FROM events) WHERE n >= 10")
+def window_fold_from_file(spark, sf_dir):
+    """The operation is SQL text in a file that is read at run time."""
+    text_of = spark.createDataFrame([("-- sum of the window",), ("a + b",)], "value string").coalesce(1)
+    op = windows.read_operator(spark, _lines(spark, text_of, "operator"))
+    return windows.window_fold(table(spark, sf_dir, "events").select("event_id", "ts", "user_id"), 10, ["ts", "event_id"], "user_id", op, "cast(0 as bigint)", "folded").select("event_id", "folded")
+
+
+@query(f"""WITH {_X}, y AS (SELECT a.point_id, a.v AS p, b.v AS q, 1 + a.point_id % 3 AS w FROM x a JOIN x b ON b.point_id = a.point_id + 1),
+    z AS (SELECT *, list_transform(list_zip(p, q), lambda r: r[1] + r[2]) AS plus, list_transform(list_zip(p, q), lambda r: r[1] - r[2]) AS less, list_transform(p, lambda e: e / w) AS m FROM y)
+    SELECT point_id, round(list_sum(list_transform(list_zip(m, q), lambda r: (r[1] - r[2]) * (r[1] - r[2]))), 6) AS weighted, round(list_sum(plus), 6) AS added, round(list_sum(less), 6) AS subtracted, round(list_sum(m), 6) AS normalised,
+    CAST(len(p) AS INTEGER) AS zeros, CASE WHEN point_id = 0 THEN 0 ELSE CAST(2 ** length(bin(point_id)) AS BIGINT) - 1 END AS all_ones, true AS in_range, point_id % 2 = 0 AS named FROM z""")
+def vector_functions(spark, sf_dir):
+    p = _points(spark, sf_dir)
+    both = p.join(p.select((F.col("point_id") - 1).alias("point_id"), F.col("coords").alias("q")), "point_id").withColumn("w", (1 + F.col("point_id") % 3).cast("double"))
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda s, x: s + x), 6)
+    p, q, w, i = F.col("coords"), F.col("q"), F.col("w"), F.col("point_id")
+    bucket = vectors.bucket_of(i, 7)
+    option = F.concat(F.when(i % 2 == 0, F.lit("seed=")).otherwise(F.lit("seeds=")), i)
+    return both.select("point_id", F.round(vectors.weighted_distance(p, w, q, F.lit(1.0)), 6).alias("weighted"), total(vectors.added(p, q)).alias("added"), total(vectors.subtracted(p, q)).alias("subtracted"), total(vectors.normalised(p, w)).alias("normalised"),
+        F.size(vectors.zeros(F.size(p))).alias("zeros"), vectors.all_ones(i).alias("all_ones"), ((bucket >= 0) & (bucket < 7) & (bucket == vectors.bucket_of(i + 0, 7))).alias("in_range"), text.starts_with_name(option, "seed").alias("named"))
+
+
+@query("SELECT n AS threads, 4 * t AS threshold, (SELECT 2 * count(*) FROM orders) AS size, 'ratio=2:3' AS parameters FROM range(1, 3) a(n), range(2) b(t)")
+def sort_experiment(spark, sf_dir):
+    """Every setting of the sort experiment; its report is read back without the times."""
+    report = scratch.new_path(spark, "report")
+    options = params.parse_options([f"input={_key_files(spark, sf_dir)}", "threads=[1..2]", "threshold=[0,4]", "ratio=2:3", f"report={report}"], params.SORT_OPTIONS)
+    params.sort_experiment(spark, options)
+    return spark.read.schema("threads int, size long, threshold int, chrono double, parameters string").csv(report, sep=";", header=True).drop("chrono")

@@ -1,3 +1,7 @@
+import socketserver
+import threading
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +70,15 @@ def test_sort_experiment(spark, tmp_path):
     (tmp_path / "v.txt").write_text(" ".join(str(x * 7 % 100) for x in range(100)))
     got = params.sort_experiment(spark, params.parse_options([f"input={tmp_path}/v.txt", "threads=[1..2]", "threshold=4"], params.SORT_OPTIONS)).collect()
     assert [(r["threads"], r["threshold"], r["size"]) for r in got] == [(1, 4, 100), (2, 4, 100)]
+    more = [f"input={tmp_path}/v.txt", "threads=3", "ratio=1:3", f"result={tmp_path}/out", f"report.file={tmp_path}/report", f"log={tmp_path}/log", "log.dim=3", "chrono=0"]
+    got = params.sort_experiment(spark, params.parse_options(more, params.SORT_OPTIONS)).collect()
+    assert [r["parameters"] for r in got] == ["ratio=1:3"]
+    assert [r[0] for r in spark.read.text(str(tmp_path / "out")).collect()] == [str(x) for x in range(100)]
+    assert [tuple(r) for r in spark.read.csv(str(tmp_path / "report"), sep=";", header=True).collect()] == [("3", "100", "0", "ratio=1:3")]
+    assert [r[0] for r in spark.read.text(str(tmp_path / "log")).collect()] == [f"input={tmp_path}/v.txt threads=3 threshold=0 size=100 0 1 2"]
+    for wrong in ({"ratio": ["3"]}, {"ratio": ["0:1"]}, {"colour": [1]}):
+        with pytest.raises(ValueError):
+            params.sort_experiment(spark, {"input": [f"{tmp_path}/v.txt"]} | wrong)
 
 
 def test_streams(spark, tmp_path):
@@ -82,9 +95,57 @@ def test_streams(spark, tmp_path):
     query.stop()
 
 
+def test_fast_and_slow_folds_agree(spark, tmp_path):
+    df = spark.range(60).select((F.col("id") % 3).alias("key"), F.col("id").alias("ord"), (F.col("id") * 7 % 11).cast("double").alias("x"))
+    for part in range(3):
+        df.where(f"ord div 20 = {part}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = streams.file_stream(spark, str(tmp_path / "in"), files_per_batch=1)
+    for name, op in (("sum", lambda a, b: a + b), ("min", min), ("max", max)):
+        for k in (1, 4):
+            fast, slow = (sorted(map(tuple, streams.run_to_table(streams.count_windows(stream, k, "key", ["ord"], "x", o), "w").collect())) for o in (name, op))
+            assert fast == slow and len(fast) == 60 - 3 * (k - 1)
+    with pytest.raises(ValueError):
+        streams.count_windows(stream, 2, "key", ["ord"], "x", "median")
+
+
+def test_socket_source_and_console(spark, tmp_path, capfd):
+    with socketserver.TCPServer(("127.0.0.1", 0), Numbers) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        stream = files.element_stream(spark, host="127.0.0.1", port=server.server_address[1])
+        query = stream.selectExpr("cast(value as int) as v").writeStream.format("memory").queryName("popped").start()
+        try:
+            deadline = time.time() + 60
+            while spark.table("popped").count() < 5 and time.time() < deadline:
+                time.sleep(0.5)
+        finally:
+            query.stop()
+            server.shutdown()
+    assert sorted(r["v"] for r in spark.table("popped").collect()) == [0, 1, 4, 9, 16]
+    assert files.element_stream(spark, source="rate", rowsPerSecond=5).columns == ["timestamp", "value"]
+    spark.range(3).selectExpr("id + 7000 as v").coalesce(1).write.parquet(str(tmp_path / "in"))
+    query = streams.to_console(streams.file_stream(spark, str(tmp_path / "in")))
+    query.processAllAvailable()
+    query.stop()
+    assert query.exception() is None and query.lastProgress["sink"]["numOutputRows"] == 3
+
+
+class Numbers(socketserver.BaseRequestHandler):
+    """Five squares, a line each; then the connection stays open, as a closed one ends the source."""
+
+    def handle(self):
+        self.request.sendall(b"".join(b"%d\n" % (i * i) for i in range(5)))
+        self.request.recv(1)
+
+
 def test_scratch(spark):
     t = scratch.written(spark.range(3), "t")
     assert t.count() == 3
+    with scratch.passing() as keep:
+        other = scratch.written(spark.range(2), "other")
+        keep.append(scratch.written(other.selectExpr("id + 1 as id"), "kept"))
+    assert keep[0].count() == 2 and t.count() == 3
+    with pytest.raises(Exception):
+        spark.read.parquet(other._loomspan_path)
     scratch.drop(t)
     with pytest.raises(Exception):
         spark.read.parquet(t._loomspan_path)

@@ -122,6 +122,13 @@ def test_windows(spark):
     assert [r["f"] for r in by_sql] == [r["f"] for r in by_python] == [f"{i}{i + 1}{i + 2}" for i in range(28)]
 
 
+def test_latest_window(spark):
+    df = generators.squares(spark)
+    got = windows.latest(df, 10, ["id"], {"s": lambda: F.sum("v")}).collect()
+    assert [(r["id"], r["s"]) for r in got] == [(999, sum(i * i for i in range(990, 1000)))]
+    assert windows.latest(df.limit(9), 10, ["id"], {"s": lambda: F.sum("v")}).count() == 0
+
+
 def test_operator_from_a_file(spark, tmp_path):
     (tmp_path / "plus.sql").write_text("-- sum of the window\na +\n b\n")
     op = windows.read_operator(spark, str(tmp_path / "plus.sql"))
@@ -145,6 +152,17 @@ def test_positions_and_order(spark):
     assert column(sorting.is_sorted(df.where("false"), "v", ["k"])) == [True]
     runs = sorting.merge_runs(df.where("k < 100").select("k", "v"), df.where("k between 100 and 150").select("k", "v"), "v", "k").orderBy("pos").collect()
     assert [(r["v"], r["run"], r["k"]) for r in runs] == sorted((r["v"], r["run"], r["k"]) for r in runs)
+    assert [r["pos"] for r in sorting.order_violations(df.where("k < 200"), "k", ["k"]).collect()] == []
+    found = {r["pos"]: (r["previous"], r["value"], r["around"]) for r in sorting.order_violations(df, "v", ["k"], 3).collect()}
+    v = [r["v"] for r in df.orderBy("k").collect()]
+    assert found == {i: (v[i - 1], v[i], v[max(0, i - 3) : i + 3]) for i in range(1, 5000) if v[i] < v[i - 1]}
+    ranges = {r["v"]: (r["first_pos"], r["last_pos"]) for r in sorting.equal_ranges(df, "v").collect()}
+    assert ranges == {x: (sorted(v).index(x), sorted(v).index(x) + v.count(x) - 1) for x in set(v)}
+    for x in (-1, 0, 7, 49, 90):
+        below, to = sum(y < x for y in v), sum(y <= x for y in v)
+        assert tuple(sorting.equal_range(df, "v", x).first()) == (below if below < 5000 else None, to - 1 if to else None)
+    total = positions.running_total(df, ["k"], "v", "t").orderBy("k").collect()
+    assert [r["t"] for r in total] == np.cumsum(v).tolist()
     assert {r["part"] for r in sorting.partition3(df, "v", 7).collect()} == {-1, 0, 1}
 
 
@@ -198,8 +216,16 @@ def test_assign_forms_agree(spark):
     assert a == b and {v[0] for v in a.values()} <= {0, 1}
 
 
+def test_scattered_takes_any_id(spark):
+    ids = [0, 5, 9_000_000_000, 2**62, -(2**63)]
+    df = spark.createDataFrame([(i,) for i in ids], "point_id long")
+    got = column(df.select(kmeans.scattered(7, 3)))
+    assert got == [((i * 1103515245 + 12345 * 4 & (1 << 31) - 1) >> 8) % 7 for i in ids]
+
+
 def test_trials(spark):
-    made = kmeans.trials(hand(spark), 2, 3)
+    one, made = (kmeans.trials(hand(spark), 2, 3, parallel=p) for p in (1, 3))
+    assert [c.centres.tolist() for _, c in one] == [c.centres.tolist() for _, c in made]
     assert [t for t, _ in made] == [0, 1, 2] and all(c.converged for _, c in made)
 
 
@@ -254,6 +280,17 @@ def test_escape_and_colours(spark):
     assert column(grid.flipped(counts.limit(1), 4).select("row")) == [3]
 
 
+def test_fractal_sweep(spark):
+    base = {"pixelX": [20], "pixelY": [12], "grain": [5], "X": [-2.0], "Y": [-1.0], "sizeX": [2.5], "sizeY": [2.0]}
+    got = params.fractal_sweep(spark, base | {"threshold": [10, 30], "threads": [2]})
+    counts = [grid.tile_stats(grid.mandelbrot(grid.pixels(spark, 20, 12, -2.0, -1.0, 2.5, 2.0), t), 5, 20, 2) for t in (10, 30)]
+    for config, want in enumerate(counts):
+        rows = got.where(f"config = {config}").select("owner", "tiles", "total", "most").collect()
+        assert sorted(map(tuple, rows)) == sorted(map(tuple, want.collect()))
+    with pytest.raises(ValueError):
+        params.fractal_sweep(spark, base | {"colour": [1]})
+
+
 # divide and conquer
 
 
