@@ -17,9 +17,16 @@ Documents are dealt to slices of a few MB by a hash of their id. Three passes ov
 
 Hashes of 4 bytes in the first pass can only add candidates. Texts travel as compressed blocks.
 
-Shapes of input with a defined result: a null or blank text has no words; a row with a null id
-keeps its text and takes part in nothing; rows that share an id are one document whose windows
-never remove each other's words; other columns are ignored.
+What stays keeps its white space; where a removed passage was, one line feed stands if there was one
+between the kept words, else one space.
+
+Shapes of input with a defined result: a null, empty or blank text has no words and stays as it is,
+as does any text that loses nothing; texts of any length are one document of one slice; a row with a
+null id keeps its text and takes part in nothing; rows that share an id are one document whose
+windows never remove each other's words (they lie in one slice, so an id must not have very many
+rows); of equal windows the one in the document of smallest id stays, wherever it is repeated there;
+an empty table gives no rows; other columns are ignored by `substring_dedup` and kept by
+`drop_repeats`, whatever their names are.
 """
 
 import zlib
@@ -34,6 +41,7 @@ from pyspark.sql import functions as F
 from ._batches import bounded_batches
 from ._runs import runs
 from ..scratch import drop, written
+from ._rows import nested, opened
 from ._words import U, bounds, hashes, mix, slices, texts, windows
 
 #: Bytes of text of a slice, and windows of a hash range, about; both grow with the root of the input up to GROWN times,
@@ -251,36 +259,45 @@ def _removing(size: int, id_col: str, text_col: str):
             lost = np.concatenate([[0], np.cumsum(removed)])
             lost = lost[s.at[1:]] - lost[s.at[:-1]]
             body = s.data.tobytes()
-            kept = []
-            for a, b, k in zip(s.at[:-1].tolist(), s.at[1:].tolist(), lost.tolist()):
-                if not k:
-                    kept.append(b" ".join(body[s.starts[a] : s.ends[b - 1]].split()) if b > a else b"")
-                else:
-                    stay = a + np.flatnonzero(~removed[a:b])
-                    kept.append(b" ".join([body[x:y] for x, y in zip(s.starts[stay].tolist(), s.ends[stay].tolist())]))
+            kept = [_rest(body, s.starts[a:b], s.ends[a:b], removed[a:b]) if k else body[x:y] for a, b, k, x, y in zip(s.at[:-1].tolist(), s.at[1:].tolist(), lost.tolist(), s.offsets[:-1].tolist(), s.offsets[1:].tolist())]
             sums = [zlib.crc32(body[a:b]) for a, b in zip(s.offsets[:-1].tolist(), s.offsets[1:].tolist())]
             yield pa.RecordBatch.from_arrays([pa.array(s.ids), pa.array(s.count), pa.array(lost), pa.array([x.decode() for x in kept], pa.string()), pa.array(sums, pa.int64())], [id_col, "n_words", "n_removed", "kept_text", "text_crc32"])
 
     return run
 
 
+def _rest(body: bytes, starts: np.ndarray, ends: np.ndarray, removed: np.ndarray) -> bytes:
+    """The kept words of a text with their white space; between two that a removed passage parted, a line feed if there was one, else a space."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[1], removed.astype(np.int8), [1]])))
+    begin, end = starts[edge[::2]].tolist(), ends[edge[1::2] - 1].tolist()
+    out = []
+    for k, (x, y) in enumerate(zip(begin, end)):
+        if k:
+            out.append(b"\n" if body.find(b"\n", end[k - 1], x) >= 0 else b" ")
+        out.append(body[x:y])
+    return b"".join(out)
+
+
 def _counting(id_col: str, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = [(t or "").encode() for t in batch.column(text_col).to_pylist()]
-            whole = [b" ".join(t.split()) for t in raw]
-            n = [t.count(b" ") + 1 if t else 0 for t in whole]
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(n, pa.int64()), pa.array([0] * len(n), pa.int64()), pa.array([t.decode() for t in whole], pa.string()), pa.array([zlib.crc32(t) for t in raw], pa.int64())], [id_col, "n_words", "n_removed", "kept_text", "text_crc32"])
+            n = [len(t.split()) for t in raw]
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(n, pa.int64()), pa.array([0] * len(n), pa.int64()), pa.array([t.decode() for t in raw], pa.string()), pa.array([zlib.crc32(t) for t in raw], pa.int64())], [id_col, "n_words", "n_removed", "kept_text", "text_crc32"])
 
     return run
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 13) -> DataFrame:
-    """One row per row of `docs`: `id_col`, `n_words`, `n_removed`, `kept_text` (kept words joined by a space), `text_crc32` (of the whole text).
+    """One row per row of `docs`: `id_col`, `n_words`, `n_removed`, `kept_text` (empty for a null text), `text_crc32` (of the whole text).
 
     Runs jobs that write tables to the shared folder; the last pass is left to the caller.
     """
-    bounded_batches(docs.sparkSession)
+    with bounded_batches(docs.sparkSession):
+        return _deduplicated(docs, id_col, text_col, size)
+
+
+def _deduplicated(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     read = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
     total = read.agg(F.sum(F.octet_length(text_col))).first()
     size_of_all = int(total[0] or 0)
@@ -301,14 +318,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 13) -> DataFrame:
-    """`docs` with the same columns and rows; texts that lose words are their kept words joined by a space, others stay as they are."""
+    """`docs` with the same columns and rows; texts that lose words are their `kept_text`, others stay as they are."""
     found = substring_dedup(docs, id_col, text_col, size).where("n_removed > 0")
-    found = written(found.select(F.col(id_col).alias("loomspan_id"), F.col("text_crc32").alias("loomspan_crc"), F.col("kept_text").alias("loomspan_text")).dropDuplicates(["loomspan_id", "loomspan_crc"]), "kept")
-    same = (F.col(id_col).cast("long") == F.col("loomspan_id")) & (F.crc32(F.col(text_col).cast("binary")) == F.col("loomspan_crc"))
-    out = docs.join(found, same, "left")
-    return out.select(*[(F.coalesce("loomspan_text", text_col).alias(c) if c == text_col else F.col(c)) for c in docs.columns])
+    found = written(found.select(F.col(id_col).alias("id"), F.col("text_crc32").alias("crc"), "kept_text").dropDuplicates(["id", "crc"]), "kept")
+    rows = nested(docs, id_col, text_col).withColumn("crc", F.crc32(F.col("text").cast("binary")))
+    return opened(rows.join(found, ["id", "crc"], "left"), docs.columns, text_col, F.coalesce("kept_text", "text"))
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """The digest is of the kept words joined by one space."""
     out = substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    words = F.btrim(F.regexp_replace("kept_text", r"[ \t\n\x0B\f\r]+", " "))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))

@@ -22,7 +22,23 @@ def brute(rows, size=13):
         for k in range(len(w) - size + 1):
             if i is not None and least[tuple(w[k : k + size])] < i:
                 gone.update(range(k, k + size))
-        out.append((i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+        out.append((i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone), rest(rows[len(out)][1] or "", gone)))
+    return out
+
+
+def rest(t, gone):
+    """The text without the words at the given places: kept white space, and a line feed or a space where words went."""
+    if not gone:
+        return t
+    out, last = "", None
+    for k, m in enumerate(WORD.finditer(t)):
+        if k in gone:
+            continue
+        if last:
+            gap = t[last[1] : m.start()]
+            out += gap if last[0] == k - 1 else "\n" if "\n" in gap else " "
+        out += m[0]
+        last = (k, m.end())
     return out
 
 
@@ -32,7 +48,7 @@ def key(rows):
 
 def test_whole_table(spark, sf):
     rows = duckdb.sql(f"select doc_id, text from '{sf}/documents.parquet'").fetchall()
-    want = {(i, n, k, hashlib.sha256(t.encode()).hexdigest()) for i, n, k, t in brute(rows)}
+    want = {(i, n, k, hashlib.sha256(t.encode()).hexdigest()) for i, n, k, t, _ in brute(rows)}
     assert {tuple(r) for r in sd.op6_substring_dedup(spark, sf).collect()} == want
 
 
@@ -50,9 +66,12 @@ def test_small_slices(spark, monkeypatch):
     monkeypatch.setattr(sd, "RANGE_KEYS", 300)
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, slice string")
     for size in (13, 4):
-        assert key(tuple(r)[:4] for r in sd.substring_dedup(df, size=size).collect()) == key(brute(rows, size))
-    kept = {(i, t): (w if n else t) for (i, t), (_, _, n, w) in zip(rows, brute(rows))}
-    assert key((r[0], r[1]) for r in sd.drop_repeats(df).collect()) == key((i, kept[i, t]) for i, t in rows)
+        assert key(tuple(r)[:4] for r in sd.substring_dedup(df, size=size).collect()) == key((*b[:3], b[4]) for b in brute(rows, size))
+    kept = {(i, t): b[4] if b[2] else t for (i, t), b in zip(rows, brute(rows))}
+    clash = df.selectExpr("*", "1 as id", "2 as crc", "3 as kept_text", "4 as `a.b`", "5 as `row`", "6 as loomspan_id", "7 as loomspan_text")
+    got = sd.drop_repeats(clash)
+    assert got.columns == clash.columns
+    assert key((r[0], r[1], *r[2:]) for r in got.collect()) == key((i, kept[i, t], "x", 1, 2, 3, 4, 5, 6, 7) for i, t in rows)
 
 
 def test_empty_table(spark):
