@@ -193,11 +193,12 @@ def _deduplicated(read: DataFrame, shingle: int, percent: int, lower: bool) -> D
 
     # links on full sets
     top = coarse.join(weight, "id", "left").groupBy("comp").agg(F.max(F.struct(F.coalesce("w", F.lit(0)), (-F.col("id")).alias("neg"))).alias("top"), F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
-    groups = coarse.join(top.select("comp", (-F.col("top.neg")).alias("centre"), "shares"), "comp")
-    groups = written(groups.join(reps, "id"), "groups")
-    texts = read.join(groups.select("doc").distinct(), "doc", "left_semi")
-    sets = texts.mapInArrow(_setting(shingle, lower), "doc long, n long, d1 long, d2 long, grams array<long>")
-    full = written(groups.join(sets, ["doc", *digest]).dropDuplicates(["id"]), "full")
+    top = written(top.select("comp", (-F.col("top.neg")).alias("centre"), "shares"), "top")
+    groups = written(coarse.join(top, "comp"), "groups")
+    # the texts of these rows alone are read again: their ids are a table of their own, so that its size tells how to join
+    asked = written(groups.join(reps.select("id", "doc"), "id").select("doc").distinct(), "asked")
+    sets = read.join(asked, "doc", "left_semi").mapInArrow(_setting(shingle, lower), "doc long, n long, d1 long, d2 long, grams array<long>")
+    full = written(groups.join(reps, "id").join(sets, ["doc", *digest]).dropDuplicates(["doc", *digest]), "full")
     # a centre is repeated for every SHARE members, so that no task meets more of them
     mid = full.where("id = centre").select("centre", every("shares").alias("share"), F.col("grams").alias("cgrams"), F.col("n").alias("cn"))
     both = F.size(F.array_intersect("grams", "cgrams"))
@@ -224,7 +225,7 @@ def _deduplicated(read: DataFrame, shingle: int, percent: int, lower: bool) -> D
     named = told.join(label, "rep").groupBy("component").agg(F.min("doc").alias("component_id"))
     label = written(label.join(named, "component").select("rep", "component_id"), "label")
     out = told.join(label, "rep", "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep_doc", "doc").alias("component_id"))
-    drop(signed, same, reps, weight, groups, full)
+    drop(signed, same, reps, weight, top, groups, asked, full)
     return out.withColumn("kept", F.coalesce(F.col("doc") == F.col("component_id"), F.lit(True)))
 
 
