@@ -90,7 +90,7 @@ def _leaves(parsed: DataFrame, least: int) -> DataFrame:
 
 
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
-    """`id, text_hash, gone array<int>`: places (from 0) of the lines to drop, of documents that lose any."""
+    """`text_hash, gone array<int>`: places (from 0) of the lines to drop, of texts that lose any. Copies of a text lose the same lines."""
     named = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).cast("string").alias("t")).where("id is not null and t is not null")
     lines = named.select("id", F.xxhash64("t").alias("th"), "t").select("id", "th", F.posexplode(F.split("t", "\n")).alias("pos", "line"))
     lines = lines.select("id", "th", "pos", _masked(F.col("line")).alias("line")).where("line <> ''")
@@ -98,20 +98,21 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     node = _node()
     lines = written(lines.select("id", "th", "pos", F.xxhash64(F.lit(-1), "line").alias("key"), "n", node.alias("node"), F.when(node.isNotNull(), F.col("line")).alias("line")), "lines")
     often = written(lines.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") >= least).select("key"), "often")
-    equal = written(lines.join(often, "key").select("id", "th", "pos", "key"), "equal")
+    # from here on copies of a text are one row
+    equal = written(lines.join(often, "key").groupBy("key", "th", "pos").agg(F.min("id").alias("id")), "equal")
     noded = lines.where("node is not null")
     nodes = noded.select("node", "th").distinct().groupBy("node").agg(F.count("*").alias("texts")).where(F.col("texts") >= least)
     nodes = written(nodes, "nodes")
-    parsed = written(noded.join(nodes, "node").select("id", "th", "pos", "node", "n", "texts", "line"), "parsed")
+    parsed = noded.join(nodes, "node").groupBy("th", "pos").agg(F.min(F.struct("id", "node", "n", "texts", "line")).alias("one"))
+    parsed = written(parsed.select("th", "pos", "one.*"), "parsed")
     drop(lines, often, nodes)
     leaves = written(_leaves(parsed, least), "leaves")
     texts = equal.select("key", "th", "id").union(leaves.select("key", "th", "id")).groupBy("key", "th").agg(F.min("id").alias("id"))
     first = F.min(F.struct("id", "th"))
     templates = written(texts.groupBy("key").agg(F.count("*").alias("n"), first.alias("first")).where(F.col("n") >= least).select("key", F.col("first.th").alias("own")), "templates")
-    places = leaves.join(templates, "key").where("th <> own").select("th", "pos").distinct()
-    places = parsed.select("id", "th", "pos").join(places, ["th", "pos"]).select("id", "th", "pos")
-    gone = equal.join(templates, "key").where("th <> own").select("id", "th", "pos").union(places).groupBy("id", "th").agg(F.collect_set("pos").alias("gone"))
-    gone = written(gone.select("id", F.col("th").alias("text_hash"), "gone"), "gone")
+    reached = equal.select("key", "th", "pos").union(leaves.select("key", "th", "pos"))
+    gone = reached.join(templates, "key").where("th <> own").groupBy("th").agg(F.collect_set("pos").alias("gone"))
+    gone = written(gone.withColumnRenamed("th", "text_hash"), "gone")
     drop(equal, templates, parsed, leaves)
     return gone
 
@@ -119,8 +120,8 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _marked(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
     """`row, id, text, gone`: each row with the places of the lines it loses, null for none."""
     gone = recurring_lines(docs, id_col, text_col, least)
-    rows = nested(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
-    return rows.join(gone, ["id", "text_hash"], "left")
+    rows = nested(docs, id_col, text_col).withColumn("text_hash", F.when(F.col("id").isNotNull(), F.xxhash64("text")))
+    return rows.join(gone, "text_hash", "left")
 
 
 def _rest() -> Column:
