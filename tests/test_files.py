@@ -73,7 +73,7 @@ def test_sort_experiment(spark, tmp_path):
     more = [f"input={tmp_path}/v.txt", "threads=3", "ratio=1:3", f"result={tmp_path}/out", f"report.file={tmp_path}/report", f"log={tmp_path}/log", "log.dim=3", "chrono=0"]
     got = params.sort_experiment(spark, params.parse_options(more, params.SORT_OPTIONS)).collect()
     assert [r["parameters"] for r in got] == ["ratio=1:3"]
-    assert [r[0] for r in spark.read.text(str(tmp_path / "out")).collect()] == [str(x) for x in range(100)]
+    assert [r["v"] for r in files.int_file(spark, str(tmp_path / "out")).orderBy("pos").collect()] == list(range(100))
     assert [tuple(r) for r in spark.read.csv(str(tmp_path / "report"), sep=";", header=True).collect()] == [("3", "100", "0", "ratio=1:3")]
     assert [r[0] for r in spark.read.text(str(tmp_path / "log")).collect()] == [f"input={tmp_path}/v.txt threads=3 threshold=0 size=100 0 1 2"]
     for wrong in ({"ratio": ["3"]}, {"ratio": ["0:1"]}, {"colour": [1]}):
