@@ -176,9 +176,11 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _deduplicated(read: DataFrame, shingle: int, percent: int, lower: bool) -> DataFrame:
-    # a row's own number is its node: ids may be shared
     signed = read.mapInArrow(_signing(shingle, lower), "doc long, n long, d1 long, d2 long, sig binary").withColumn("id", F.monotonically_increasing_id())
     signed = written(signed, "signed")
+    # a document's id is its node; where rows share ids, a row's own number is
+    clash = bool(signed.where("doc is not null").groupBy("doc").agg(F.count("*").alias("rows")).where("rows > 1").take(1))
+    made, signed = signed, signed if clash else signed.withColumn("id", F.col("doc"))
     least = max(1, round(MINIMA * (percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / MINIMA) ** 0.5)))
     nodes = signed.where("doc is not null and n > 0")
     digest = ["n", "d1", "d2"]
@@ -195,8 +197,8 @@ def _deduplicated(read: DataFrame, shingle: int, percent: int, lower: bool) -> D
     top = coarse.join(weight, "id", "left").groupBy("comp").agg(F.max(F.struct(F.coalesce("w", F.lit(0)), (-F.col("id")).alias("neg"))).alias("top"), F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
     top = written(top.select("comp", (-F.col("top.neg")).alias("centre"), "shares"), "top")
     groups = written(coarse.join(top, "comp"), "groups")
-    # the texts of these rows alone are read again: their ids are a table of their own, so that its size tells how to join
-    asked = written(groups.join(reps.select("id", "doc"), "id").select("doc").distinct(), "asked")
+    # the texts of these rows alone are read again: their ids are in a narrow table, so that its size tells how to join
+    asked = written(groups.join(reps.select("id", "doc"), "id").select("doc").distinct(), "asked") if clash else groups.select(F.col("id").alias("doc"))
     sets = read.join(asked, "doc", "left_semi").mapInArrow(_setting(shingle, lower), "doc long, n long, d1 long, d2 long, grams array<long>")
     full = written(groups.join(reps, "id").join(sets, ["doc", *digest]).dropDuplicates(["doc", *digest]), "full")
     # a centre is repeated for every SHARE members, so that no task meets more of them
@@ -216,17 +218,24 @@ def _deduplicated(read: DataFrame, shingle: int, percent: int, lower: bool) -> D
     links = near.union(last.mapInArrow(_confirming(percent, least), "a long, b long"))
 
     told = signed.select("id", "doc", *digest).join(same, digest, "left")
-    told = written(told.select("doc", "n", F.when(F.col("doc").isNotNull(), F.coalesce("rep", "id")).alias("rep"), F.when(F.col("doc").isNotNull(), F.col("rep_doc")).alias("rep_doc")), "told")
-    # rows that share an id are one node
+    told = told.select("doc", "n", F.when(F.col("doc").isNotNull(), F.coalesce("rep", "id")).alias("rep"), F.when(F.col("doc").isNotNull(), F.col("rep_doc")).alias("rep_doc"))
+    if clash:
+        told, label = _named(written(told, "told"), links)
+    else:
+        label = connected_components(links).select(F.col("node").alias("rep"), F.col("component").alias("component_id"))
+    out = told.join(label, "rep", "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep_doc", "doc").alias("component_id"))
+    drop(reps, weight, top, groups, full, *([asked, made, same] if clash else []))
+    return out.withColumn("kept", F.coalesce(F.col("doc") == F.col("component_id"), F.lit(True)))
+
+
+def _named(told: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`told`, and for each linked node `rep` its `component_id`, where rows that share an id are one node and nodes are numbers of rows."""
     shared = told.where("doc is not null").groupBy("doc").agg(F.min("rep").alias("b"), F.max("rep").alias("other")).where("b <> other").select("doc", "b")
     shared = told.join(shared, "doc").select(F.col("rep").alias("a"), "b").distinct()
-    label = written(connected_components(links.union(shared)), "label")
-    label = label.withColumnRenamed("node", "rep")
+    label = connected_components(links.union(shared)).withColumnRenamed("node", "rep")
+    # the least id of a component, copies of its nodes included
     named = told.join(label, "rep").groupBy("component").agg(F.min("doc").alias("component_id"))
-    label = written(label.join(named, "component").select("rep", "component_id"), "label")
-    out = told.join(label, "rep", "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep_doc", "doc").alias("component_id"))
-    drop(signed, same, reps, weight, top, groups, asked, full)
-    return out.withColumn("kept", F.coalesce(F.col("doc") == F.col("component_id"), F.lit(True)))
+    return told, written(label.join(named, "component").select("rep", "component_id"), "label")
 
 
 def op1_minhash_dedup(spark, sf_dir: str) -> DataFrame:
