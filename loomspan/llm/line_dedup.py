@@ -16,7 +16,8 @@ that text stay copies. Fields without a digit among the two leading tokens are n
 
 Counting: nodes, tokens and lines that too few texts have are found with pre-aggregated counts and
 fall out first; only rows of the others meet in a join, with a written table, so that a frequent
-line's rows can be split over tasks. Keys are 64-bit hashes: a wrong drop would need `least` texts
+line's rows can be split over tasks. At the end every text is shuffled once, to its list of lost
+lines, which is never broadcast. Keys are 64-bit hashes: a wrong drop would need `least` texts
 to collide at once.
 
 Shapes of input with a defined result: a null text has no lines and stays null; an empty text is one
@@ -121,7 +122,8 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFram
     """`row, id, text, gone`: each row with the places of the lines it loses, null for none."""
     gone = recurring_lines(docs, id_col, text_col, least)
     rows = nested(docs, id_col, text_col).withColumn("text_hash", F.when(F.col("id").isNotNull(), F.xxhash64("text")))
-    return rows.join(gone, "text_hash", "left")
+    # the list grows with the input, so the texts are dealt to it at any size: a small run then moves what a large one will
+    return rows.join(gone.hint("merge"), "text_hash", "left")
 
 
 def _rest() -> Column:

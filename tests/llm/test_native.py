@@ -18,6 +18,11 @@ def test_only_dataframe_functions(spark):
         assert "Python" not in df._jdf.queryExecution().toString()
 
 
+def test_texts_meet_lost_lines_by_one_plan_at_any_size(spark):
+    plan = op9_line_dedup(spark, D)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_lines(spark):
     line = "Posted by user {} on 2024-01-0{} in the news section of it"
     rows = [(k, f"own text {'x' * k}\n" + line.format(["ann", "bob", "eve", "joe", "sue", "kim"][k], k) + "\n\nAll rights reserved.\t") for k in range(6)]
