@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._batches import bounded_batches
+from ._batches import bounded_batches, lean
 from ._runs import runs
 from ..scratch import drop, written
 from ._words import BYTE, BYTE_LOWER, U, bounds, hashes, mix, slices, windows
@@ -176,7 +176,7 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _deduplicated(read: DataFrame, shingle: int, percent: int, lower: bool) -> DataFrame:
-    signed = read.mapInArrow(_signing(shingle, lower), "doc long, n long, d1 long, d2 long, sig binary").withColumn("id", F.monotonically_increasing_id())
+    signed = read.mapInArrow(lean(_signing(shingle, lower)), "doc long, n long, d1 long, d2 long, sig binary").withColumn("id", F.monotonically_increasing_id())
     signed = written(signed, "signed")
     # a document's id is its node; where rows share ids, a row's own number is
     clash = bool(signed.where("doc is not null").groupBy("doc").agg(F.count("*").alias("rows")).where("rows > 1").take(1))
@@ -199,7 +199,7 @@ def _deduplicated(read: DataFrame, shingle: int, percent: int, lower: bool) -> D
     groups = written(coarse.join(top, "comp"), "groups")
     # the texts of these rows alone are read again: their ids are in a narrow table, so that its size tells how to join
     asked = written(groups.join(reps.select("id", "doc"), "id").select("doc").distinct(), "asked") if clash else groups.select(F.col("id").alias("doc"))
-    sets = read.join(asked, "doc", "left_semi").mapInArrow(_setting(shingle, lower), "doc long, n long, d1 long, d2 long, grams array<long>")
+    sets = read.join(asked, "doc", "left_semi").mapInArrow(lean(_setting(shingle, lower)), "doc long, n long, d1 long, d2 long, grams array<long>")
     full = written(groups.join(reps, "id").join(sets, ["doc", *digest]).dropDuplicates(["doc", *digest]), "full")
     # a centre is repeated for every SHARE members, so that no task meets more of them
     mid = full.where("id = centre").select("centre", every("shares").alias("share"), F.col("grams").alias("cgrams"), F.col("n").alias("cn"))
@@ -215,7 +215,7 @@ def _deduplicated(read: DataFrame, shingle: int, percent: int, lower: bool) -> D
     ones = known.where("ok is null and id <> centre").withColumn("side", F.lit(0)).withColumn("x", at("nx")).withColumn("y", every("ny"))
     others = known.where("id <> centre").withColumn("side", F.lit(1)).withColumn("y", at("ny")).withColumn("x", every("nx"))
     last = ones.select(cols).union(others.select(cols)).repartition("comp", "x", "y").sortWithinPartitions("comp", "x", "y")
-    links = near.union(last.mapInArrow(_confirming(percent, least), "a long, b long"))
+    links = near.union(last.mapInArrow(lean(_confirming(percent, least)), "a long, b long"))
 
     told = signed.select("id", "doc", *digest).join(same, digest, "left")
     told = told.select("doc", "n", F.when(F.col("doc").isNotNull(), F.coalesce("rep", "id")).alias("rep"), F.when(F.col("doc").isNotNull(), F.col("rep_doc")).alias("rep_doc"))

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..scratch import written
+from ._batches import bounded_batches, lean
 from ._words import SLICE, texts
 from .tokens import _two, shipped
 
@@ -244,7 +245,8 @@ def pack_tokens(docs: DataFrame, path: str, capacity: int = 1024, end: int = 2,
     """
     place = shipped(docs, path)
     schema = f"`{id_col}` long, piece int, start long, length long, ids_crc32 long, chunk long, k long"
-    pieces = written(_two(docs, id_col, text_col).mapInArrow(_cutting(place, id_col, text_col, capacity, end), schema), "pieces")
+    with bounded_batches(docs.sparkSession):
+        pieces = written(_two(docs, id_col, text_col).mapInArrow(lean(_cutting(place, id_col, text_col, capacity, end)), schema), "pieces")
     counts = pieces.groupBy("length", "chunk").agg(F.count("*").alias("n"))
     base = counts.withColumn("base", F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
     histogram = np.zeros(capacity + 1, np.int64)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..scratch import drop, written
-from ._batches import bounded_batches
+from ._batches import bounded_batches, give_back
 from ._rows import nested, opened, quoted
 from ._words import U, bounds, hashes, mix, slices, windows
 
@@ -213,6 +213,7 @@ def _counts_of(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for column in columns:
         parts = [rule_statistics(data, offsets) for _, data, offsets in slices(pa.RecordBatch.from_arrays([column], ["text"]), "text")]
         yield pa.StructArray.from_arrays([pa.array(np.concatenate([p[k] for p in parts]) if parts else [], pa.int64()) for k in COUNTS], fields=list(_STRUCT))
+    give_back()
 
 
 def document_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: bool = False) -> DataFrame:

@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._batches import bounded_batches
+from ._batches import bounded_batches, lean
 from ._runs import runs
 from ..scratch import drop, written
 from ._rows import nested, opened
@@ -305,22 +305,23 @@ def _deduplicated(docs: DataFrame, id_col: str, text_col: str, size: int) -> Dat
     count = max(1, round(size_of_all / (SLICE_BYTES * grown)))
     ranges = max(1, round(size_of_all / 6 / (RANGE_KEYS * grown)))
     named = read.where(F.col(id_col).isNotNull())
-    packed = lambda: named.mapInArrow(_packing(id_col, text_col, count), _PACKED)
+    packed = lambda: named.mapInArrow(lean(_packing(id_col, text_col, count)), _PACKED)
     dealt = lambda df, key: df.repartition(key).sortWithinPartitions(key, *(["kind"] if "kind" in df.columns else []))
-    asked = dealt(packed(), "slice").mapInArrow(_asking(size, ranges), "range long, slice long, k0 binary, k1 binary, k2 binary, k3 binary")
-    hits = written(dealt(asked, "range").mapInArrow(_answering, _PACKED), "anchors")
-    wide = dealt(packed().union(hits), "slice").mapInArrow(_extending(size, ranges, ranges), "range long, slice long, w1 binary, w2 binary, ids binary")
-    least = written(dealt(wide, "range").mapInArrow(_settling, _PACKED), "repeats")
+    asked = dealt(packed(), "slice").mapInArrow(lean(_asking(size, ranges)), "range long, slice long, k0 binary, k1 binary, k2 binary, k3 binary")
+    hits = written(dealt(asked, "range").mapInArrow(lean(_answering), _PACKED), "anchors")
+    wide = dealt(packed().union(hits), "slice").mapInArrow(lean(_extending(size, ranges, ranges)), "range long, slice long, w1 binary, w2 binary, ids binary")
+    least = written(dealt(wide, "range").mapInArrow(lean(_settling), _PACKED), "repeats")
     drop(hits)
     schema = f"`{id_col}` long, n_words long, n_removed long, kept_text string, text_crc32 long"
-    out = dealt(packed().union(least), "slice").mapInArrow(_removing(size, id_col, text_col), schema)
+    out = dealt(packed().union(least), "slice").mapInArrow(lean(_removing(size, id_col, text_col)), schema)
     return out.union(read.where(F.col(id_col).isNull()).mapInArrow(_counting(id_col, text_col), schema))
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 13) -> DataFrame:
     """`docs` with the same columns and rows; texts that lose words are their `kept_text`, others stay as they are."""
     found = substring_dedup(docs, id_col, text_col, size).where("n_removed > 0")
-    found = written(found.select(F.col(id_col).alias("id"), F.col("text_crc32").alias("crc"), "kept_text").dropDuplicates(["id", "crc"]), "kept")
+    with bounded_batches(docs.sparkSession):  # the last pass runs here
+        found = written(found.select(F.col(id_col).alias("id"), F.col("text_crc32").alias("crc"), "kept_text").dropDuplicates(["id", "crc"]), "kept")
     rows = nested(docs, id_col, text_col).withColumn("crc", F.crc32(F.col("text").cast("binary")))
     return opened(rows.join(found, ["id", "crc"], "left"), docs.columns, text_col, F.coalesce("kept_text", "text"))
 

@@ -1,15 +1,18 @@
 import random
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from loomspan.llm import _words as w
-from loomspan.llm._batches import bounded_batches
+from loomspan.llm import minhash_dedup, packing, quality, substring_dedup
+from loomspan.llm._batches import bounded_batches, lean
 from loomspan.llm._runs import runs
 from loomspan.llm.components import connected_components
+from loomspan.scratch import written
 
 
 def test_components_of_chains_and_random_graphs(spark):
@@ -42,6 +45,29 @@ def test_batch_size_is_set_back(spark):
     assert spark.conf.get(setting) == before
 
 
+def test_batches_are_bounded_by_bytes(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    df = spark.range(0, 60, 1, 1).selectExpr("repeat('x', 1000000) as text")
+    with bounded_batches(spark):
+        got = [r[0] for r in df.mapInArrow(lean(sizes), "n long").collect()]
+    assert sum(got) >= 60_000_000 and max(got) < 12_000_000
+
+
+def test_jobs_on_texts_have_bounded_batches(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    seen = {}
+    for module in (packing, quality, minhash_dedup, substring_dedup):
+        monkeypatch.setattr(module, "written", lambda df, name: (seen.__setitem__(name, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))), written(df, name))[1])
+    packing.pack_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    quality.document_counts(docs)
+    minhash_dedup.minhash_dedup(docs)
+    substring_dedup.drop_repeats(docs)
+    assert {"pieces", "counts", "signed", "full", "anchors", "repeats", "kept"} <= set(seen) and max(seen.values()) <= 2000
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.text(alphabet="ab é\t\n語", max_size=12), max_size=8))
 def test_words_are_those_of_the_pattern(texts):
