@@ -12,7 +12,7 @@ together in near-dedup; texts of any length are worked on whole.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.scratch import drop, passing, written
+from loomspan.scratch import drop, passing, swept, written
 from loomspan.llm._rows import nested, opened
 from loomspan.llm.line_dedup import drop_templates
 from loomspan.llm.minhash_dedup import minhash_dedup
@@ -66,6 +66,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES[:-1]:
         before = docs
         with passing() as keep:
-            keep.append(docs := written(stage(spark, before, sf_dir), name))
+            found = stage(spark, before, sf_dir)
+            with swept(spark):
+                keep.append(docs := written(found, name))
         drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from ._batches import bounded_batches, lean
 from ._runs import runs
-from ..scratch import drop, written
+from ..scratch import drop, swept, written
 from ._rows import nested, opened
 from ._words import U, bounds, hashes, mix, slices, texts, windows
 
@@ -293,7 +293,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Runs jobs that write tables to the shared folder; the last pass is left to the caller.
     """
-    with bounded_batches(docs.sparkSession):
+    with bounded_batches(docs.sparkSession), swept(docs.sparkSession):
         return _deduplicated(docs, id_col, text_col, size)
 
 
@@ -320,7 +320,7 @@ def _deduplicated(docs: DataFrame, id_col: str, text_col: str, size: int) -> Dat
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 13) -> DataFrame:
     """`docs` with the same columns and rows; texts that lose words are their `kept_text`, others stay as they are."""
     found = substring_dedup(docs, id_col, text_col, size).where("n_removed > 0")
-    with bounded_batches(docs.sparkSession):  # the last pass runs here
+    with bounded_batches(docs.sparkSession), swept(docs.sparkSession):  # the last pass runs here
         found = written(found.select(F.col(id_col).alias("id"), F.col("text_crc32").alias("crc"), "kept_text").dropDuplicates(["id", "crc"]), "kept")
     rows = nested(docs, id_col, text_col).withColumn("crc", F.crc32(F.col("text").cast("binary")))
     return opened(rows.join(found, ["id", "crc"], "left"), docs.columns, text_col, F.coalesce("kept_text", "text"))

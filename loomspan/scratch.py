@@ -14,6 +14,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _MADE: list[tuple[SparkSession, str]] = []
+_SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def root(spark: SparkSession) -> str:
@@ -52,6 +53,20 @@ def drop(*tables: DataFrame) -> None:
             _MADE[:] = [x for x in _MADE if x[1] != path]
 
 
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """What a job inside shuffled is deleted at its end; by Spark's default it stays until the driver happens to collect its garbage.
+
+    For tables that are written: a second action on the same frame would have to shuffle again.
+    """
+    before = spark.conf.get(_SWEEP)
+    try:
+        spark.conf.set(_SWEEP, "true")
+        yield
+    finally:
+        spark.conf.set(_SWEEP, before)
+
+
 @contextmanager
 def passing() -> Iterator[list[DataFrame]]:
     """Tables that are made inside are deleted at its end, but for those put in the list: for a result that is written there."""

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import duckdb
 
@@ -76,3 +77,22 @@ def test_small_slices(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert sd.substring_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_shuffles_go_with_their_step(spark, sf):
+    """What a step shuffled is gone after it, without garbage collection by the driver; the setting is as before."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def shuffled():
+        files = disk.getAllFiles()
+        names = [files.apply(k).getName() for k in range(files.size())]
+        return {x for x in names if x.startswith("shuffle_") and x.endswith(".data")}
+
+    before, was = shuffled(), spark.conf.get(setting)
+    sd.drop_repeats(spark.read.parquet(f"{sf}/documents.parquet"))
+    end = time.time() + 20  # Spark doesn't wait for the deletion
+    while shuffled() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert spark.conf.get(setting) == was
