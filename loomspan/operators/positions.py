@@ -9,14 +9,14 @@ from ..scratch import written
 _MASK = (1 << 33) - 1
 
 
-def with_position(df: DataFrame, order: list, position: str = "pos") -> DataFrame:
-    """`df` with the place of each row (from 0) in the given order.
+def with_position(df: DataFrame, order: list, position: str = "pos", keep: list[str] | None = None) -> DataFrame:
+    """`df`, or its columns `keep`, with the place of each row (from 0) in the given order.
 
     Rows are dealt by ranges of the order and sorted in each; the table is written once, so ranges
     are not sampled anew; then only one count for each range is summed up. The order must be total
     for the places to be the same on every run.
     """
-    placed, part = _ranged(df, order)
+    placed, part = _ranged(df, order, keep)
     counts = placed.groupBy(part.alias("loomspan_part")).agg(F.count("*").alias("n"))
     out = placed.withColumn("loomspan_part", part).join(F.broadcast(_before(counts)), "loomspan_part")
     return out.withColumn(position, F.col("loomspan_before") + F.col("loomspan_at").bitwiseAND(F.lit(_MASK))).drop("loomspan_at", "loomspan_part", "loomspan_before")
@@ -32,12 +32,12 @@ def running_total(df: DataFrame, order: list, value: str, name: str) -> DataFram
     return out.withColumn(name, F.col("loomspan_before") + F.col("loomspan_inside")).drop("loomspan_at", "loomspan_part", "loomspan_before", "loomspan_inside")
 
 
-def _ranged(df: DataFrame, order: list) -> tuple[DataFrame, Column]:
-    """Rows in ranges of an order, written, with `loomspan_at` in that order, and the range of a row."""
+def _ranged(df: DataFrame, order: list, keep: list[str] | None = None) -> tuple[DataFrame, Column]:
+    """Rows in ranges of an order, written (their columns `keep` or all), with `loomspan_at` in that order, and the range of a row."""
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = [F.col(c) if isinstance(c, str) else c for c in order]
     placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("loomspan_at", F.monotonically_increasing_id())
-    return written(placed, "ordered"), F.shiftrightunsigned("loomspan_at", 33)
+    return written(placed if keep is None else placed.select(*keep, "loomspan_at"), "ordered"), F.shiftrightunsigned("loomspan_at", 33)
 
 
 def _before(parts: DataFrame) -> DataFrame:

@@ -43,14 +43,16 @@ def partition3(df: DataFrame, value: str, pivot) -> DataFrame:
 
 
 def order_violations(df: DataFrame, value: str, order: list[str], context: int = 10) -> DataFrame:
-    """`pos, previous, value, around`: every place whose value is below the one before, with the values up to `context` before and after it."""
-    placed = with_position(df, order).select("pos", F.col(value).alias("value"))
-    near = over_neighbours(placed, "pos", 1, 0, {"previous": lambda w: F.lag("value").over(w)})
-    found = near.where(F.col("value") < F.col("previous")).select("pos", "previous", "value")
-    # the values around are fetched for these places only
-    asked = found.select(F.col("pos").alias("of"), F.explode(F.sequence(F.col("pos") - context, F.col("pos") + context - 1)).alias("pos"))
-    around = asked.join(placed, "pos").groupBy("of").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("around"))
-    return found.join(around, found["pos"] == around["of"]).select("pos", "previous", "value", F.col("around.value").alias("around"))
+    """`pos, previous, value, around`: every place whose value is below the one before, with the values up to `context` (1 at least) before and after it.
+
+    The values around are a frame of the same window, so a row is sent twice, whatever the number of violations.
+    """
+    if context < 1:
+        raise ValueError("a violation has at least the value before it")
+    placed = with_position(df, order, keep=[value]).select("pos", F.col(value).alias("value"))
+    frame = {"previous": lambda w: F.lag("value").over(w), "around": lambda w: F.collect_list(F.struct("value")).over(w.rowsBetween(-context, context - 1))}
+    near = over_neighbours(placed, "pos", context, context - 1, frame)
+    return near.where(F.col("value") < F.col("previous")).select("pos", "previous", "value", F.col("around.value").alias("around"))
 
 
 def is_sorted(df: DataFrame, value: str, order: list[str]) -> DataFrame:

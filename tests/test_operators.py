@@ -169,6 +169,17 @@ def test_positions_and_order(spark):
 # k-means
 
 
+
+def test_violations_are_found_in_one_window(spark):
+    rows = [(k, v) for k, v in enumerate([3, 1, None, 2, 5, 4, 4, None])]
+    found = sorting.order_violations(spark.createDataFrame(rows, "k int, v int"), "v", ["k"], 2)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 3, 1, [3, 1, None]), (5, 5, 4, [2, 5, 4, 4])]
+    # the only join is with the counts of the ranges: no row is made for each value around a violation
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    with pytest.raises(ValueError):
+        sorting.order_violations(found, "value", ["pos"], 0)
+
+
 def hand(spark):
     values = [0.0, 0.2, 3.0, 3.4, -0.2, 0.0]
     df = spark.createDataFrame([(i, [v]) for i, v in enumerate(values)], "id long, v array<double>")
