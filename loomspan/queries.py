@@ -545,7 +545,7 @@ def plot_files_back(spark, sf_dir):
     found = kmeans.kmeans(points, K, kmeans.round_robin(K), max_iter=3)
     report, out = scratch.new_path(spark, "report"), scratch.new_path(spark, "plot")
     sinks.cluster_report(kmeans.assign(points, found.centres, found.moved), found, report)
-    lines = points.orderBy("point_id").select(F.concat_ws(" ", F.col("coords").cast("array<string>")).alias("value")).coalesce(1)
+    lines = points.orderBy("point_id").select(F.concat_ws(" ", F.col("coords").cast("array<string>")).alias("value"))
     sinks.plot_files(spark, _lines(spark, lines, "points"), report, out)
     got = spark.read.schema("value string, trial int").text(out)
     return got.groupBy("trial", F.element_at(F.split("value", " "), -1).cast("int").alias("cluster_id")).agg(F.count("*").alias("n"))

@@ -60,14 +60,15 @@ def positional_join(points: DataFrame, blocks: DataFrame) -> DataFrame:
     """
     n = points.agg(F.count("*").alias("n_points"))
     whole = blocks.groupBy("trial").agg(F.count("*").alias("n")).join(F.broadcast(n), F.col("n") == F.col("n_points"), "left_semi").select("trial")
-    return points.join(blocks.join(whole, "trial", "left_semi"), "point_id")
+    return points.join(blocks.join(F.broadcast(whole), "trial", "left_semi"), "point_id")
 
 
 def plot_files(spark, points_path: str, report_path: str, out: str) -> None:
-    """A folder for each trial with `coords... cluster_id` lines."""
+    """A folder for each trial with `coords... cluster_id` lines; its parts in name order are the points in theirs."""
     joined = positional_join(point_file(spark, points_path), report_blocks(spark, report_path))
     line = F.concat_ws(" ", F.concat_ws(" ", F.col("coords").cast("array<string>")), F.col("cluster_id"))
-    joined.repartition("trial").sortWithinPartitions("trial", "point_id").select("trial", line.alias("value")).write.mode("overwrite").partitionBy("trial").text(out)
+    # by ranges of both, so a trial of many points is not one task's
+    joined.repartitionByRange("trial", "point_id").sortWithinPartitions("trial", "point_id").select("trial", line.alias("value")).write.mode("overwrite").partitionBy("trial").text(out)
 
 
 def write_ppm(image: DataFrame, width: int, height: int, path: str) -> None:

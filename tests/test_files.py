@@ -1,6 +1,7 @@
 import socketserver
 import threading
 import time
+from contextlib import contextmanager
 
 import pytest
 from pyspark.sql import functions as F
@@ -45,6 +46,47 @@ def test_report_and_plot(spark, tmp_path):
     assert sorted((r["trial"], r["point_id"], r["cluster_id"]) for r in joined.collect()) == [(1, 0, 0), (1, 1, 1)]
 
 
+
+def test_a_trial_of_many_points_is_dealt_to_tasks(spark, tmp_path):
+    n = 4000
+    points = spark.range(n, numPartitions=3).select(F.concat_ws(" ", F.col("id"), F.lit("0.5")).alias("value"))
+    points.write.text(str(tmp_path / "points"))  # three files, read as one in name order
+    got = files.point_file(spark, str(tmp_path / "points")).collect()
+    assert sorted((r["point_id"], r["coords"]) for r in got) == [(k, [float(k), 0.5]) for k in range(n)]
+    spark.range(n).select(F.concat(F.lit("id:"), F.col("id") % 7, F.lit(" d²=0.0")).alias("value")).coalesce(1).write.text(str(tmp_path / "report"))
+    with coalesced(spark, "false"):
+        sinks.plot_files(spark, str(tmp_path / "points"), str(tmp_path / "report"), str(tmp_path / "plot"))
+    parts = sorted((tmp_path / "plot" / "trial=0").glob("part-*"))
+    assert len(parts) > 1
+    assert [x for p in parts for x in p.read_text().splitlines()] == [f"{float(k)} 0.5 {k % 7}" for k in range(n)]
+
+
+def test_lines_keep_their_places_in_parts_of_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, lines in (("b", range(3000)), ("a", range(5000, 5100)), ("c", [])):
+        (tmp_path / "in" / name).write_text("".join(f"{x}\n" for x in lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        got = files.text_lines(spark, str(tmp_path / "in"))
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("Sort") == 0
+        rows = sorted((r["file"][-1], r["line_no"], int(r["value"])) for r in got.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert rows == [("a", k, 5000 + k) for k in range(100)] + [("b", k, k) for k in range(3000)]
+
+
+@contextmanager
+def coalesced(spark, value):
+    """With Spark's own joining of small partitions set."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_text_csv_and_image(spark, tmp_path):
     df = spark.createDataFrame([("a", 2), ("b", 1)], "k string, v int")
     sinks.key_value_text(df, "k", "v", str(tmp_path / "kv"))
