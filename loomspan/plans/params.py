@@ -110,6 +110,9 @@ def sweep(parameters: dict[str, list], run: Callable[..., bool | None]) -> list[
     return rows
 
 
+#: Numbers that one range of the sort experiment is for (about 100 MB of a task's memory).
+RANGE = 1 << 21
+
 #: Options of the sort experiment; `result`, `report` and `log` are the same as with `.file`.
 SORT_OPTIONS = {"threads": "int", "threshold": "int", "input": "string", "ratio": "string", "chrono": "int", "result": "string", "result.file": "string", "report": "string", "report.file": "string", "log": "string", "log.file": "string", "log.dim": "int"}
 
@@ -131,7 +134,9 @@ def _one(options: dict[str, list], name: str):
 def sort_experiment(spark: SparkSession, options: dict[str, list]) -> DataFrame:
     """`input, threads, threshold, size, chrono, parameters`: sorts each input for each setting.
 
-    `threads` sets the number of ranges. Thresholds and ratios (where and how a recursion would
+    `threads` sets the number of ranges; inputs of more than RANGE numbers a thread get more of them, so
+    that no task's memory grows with the input. The places of an input's numbers are found once, before
+    the sorts are timed. Thresholds and ratios (where and how a recursion would
     divide) change nothing here but the row's `parameters`, as ranges are sampled. Options: `result`
     names a folder for the sorted numbers of the last setting, `report` one to which report rows are
     added (with `chrono=0` without times), `log` a text folder with a line for each sort; `log.dim`
@@ -147,11 +152,13 @@ def sort_experiment(spark: SparkSession, options: dict[str, list]) -> DataFrame:
     result, report, log = (_one(options, n) for n in ("result", "report", "log"))
     shown = (options.get("log.dim") or [0])[-1]
     rows, notes = [], []
+    inputs = {path: int_file(spark, path) for path in options["input"]}
+    sizes = {path: data.count() for path, data in inputs.items()}
 
     def run(input: str, threshold: int, threads: int) -> None:
-        data = int_file(spark, input)
-        rows.append(data.count())
-        sorted_ = data.repartitionByRange(max(1, threads), "v", "pos").sortWithinPartitions("v", "pos")
+        data = inputs[input]
+        rows.append(sizes[input])
+        sorted_ = data.repartitionByRange(max(1, threads, -(-rows[-1] // RANGE)), "v", "pos").sortWithinPartitions("v", "pos")
         if result:
             sorted_.select(F.col("v").cast("string")).write.mode("overwrite").text(result)
         else:

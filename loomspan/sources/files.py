@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..operators.positions import over_neighbours, with_position
+from ..operators.positions import over_neighbours
 from ..scratch import written
 
 
@@ -53,8 +53,8 @@ def point_file(spark: SparkSession, path: str) -> DataFrame:
 
 def int_file(spark: SparkSession, path: str) -> DataFrame:
     """`pos, v`: integers between any white space, up to the first part that is none."""
-    parts = _ordered_lines(spark, path).select("pos", F.posexplode(F.filter(F.split("value", r"\s+"), lambda w: w != "")).alias("nth", "w"))
-    parts = with_position(parts.withColumnRenamed("pos", "line"), ["line", "nth"]).select("pos", F.expr("try_cast(w as int)").alias("v"))
+    words = _lines(spark, path).select("file", "block", F.explode(F.filter(F.split("value", r"\s+"), lambda w: w != "")).alias("w"))
+    parts = _in_read_order(words.select("file", "block", F.expr("try_cast(w as int)").alias("v")))
     stop = parts.where("v is null").agg(F.min("pos").alias("stop"))
     return parts.join(F.broadcast(stop), F.lit(True)).where("stop is null or pos < stop").select("pos", "v")
 

@@ -123,6 +123,16 @@ def test_sort_experiment(spark, tmp_path):
             params.sort_experiment(spark, {"input": [f"{tmp_path}/v.txt"]} | wrong)
 
 
+
+def test_a_large_sort_has_more_ranges_than_threads(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(params, "RANGE", 100, raising=False)
+    (tmp_path / "v.txt").write_text("\n".join(f"{x * 7 % 1000} {x}" for x in range(500)))
+    params.sort_experiment(spark, params.parse_options([f"input={tmp_path}/v.txt", "threads=1", f"result={tmp_path}/out"], params.SORT_OPTIONS))
+    parts = [[int(x) for x in p.read_text().split()] for p in sorted((tmp_path / "out").glob("part-*"))]
+    assert len(parts) == 10 and max(map(len, parts)) < 200
+    assert [x for p in parts for x in p] == sorted([x * 7 % 1000 for x in range(500)] + list(range(500)))
+
+
 def test_streams(spark, tmp_path):
     df = spark.range(40).select((F.col("id") % 2).alias("key"), F.col("id").alias("ord"), F.col("id").cast("double").alias("x"))
     for part in range(4):
