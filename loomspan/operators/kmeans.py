@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import nearest
 
+#: Partial sums that the driver adds up itself (8 MB); more of them are added by tasks.
+DRIVER_VALUES = 1 << 20
+
 
 @dataclass
 class Clustering:
@@ -56,12 +59,14 @@ def _matrix(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _assigned(ids: np.ndarray, x: np.ndarray, weight: np.ndarray, centres: np.ndarray, moved: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    mean = x / weight[:, None]
-    dist = np.empty((len(ids), len(centres)))
+    mean = np.ascontiguousarray((x / weight[:, None]).T)  # a row for each dimension, read once a centre
+    dist, apart = np.empty((len(ids), len(centres))), np.empty(len(ids))
     for k, c in enumerate(centres):
         total = np.zeros(len(ids))
         for j in range(len(c)):
-            total += (mean[:, j] - c[j]) ** 2
+            np.subtract(mean[j], c[j], out=apart)
+            np.square(apart, out=apart)
+            total += apart
         dist[:, k] = total
     best = dist.argmin(1)
     for i in np.flatnonzero(np.isin(ids, list(moved))).tolist() if moved else []:
@@ -69,11 +74,11 @@ def _assigned(ids: np.ndarray, x: np.ndarray, weight: np.ndarray, centres: np.nd
     return best, dist[np.arange(len(ids)), best]
 
 
-def _sums(df: DataFrame, dim: int, k: int, centres: np.ndarray | None, moved: dict[int, int], old: tuple | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, float]:
-    """Coordinate sums, weights and counts of each cluster, points whose cluster differs from the old centres' one, and inertia."""
+def _sums(df: DataFrame, dim: int, k: int, centres: np.ndarray | None, moved: dict[int, int], parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Coordinate sums, weights and counts of each cluster, and inertia; `df` has so many partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros((k, dim + 4))
+        out = np.zeros((k, dim + 3))
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -82,20 +87,47 @@ def _sums(df: DataFrame, dim: int, k: int, centres: np.ndarray | None, moved: di
                 best, dist = batch.column("start").to_numpy(), np.zeros(len(ids))
             else:
                 best, dist = _assigned(ids, x, weight, centres, moved)
-            before = best if old is None else batch.column("start").to_numpy() if old[0] is None else _assigned(ids, x, weight, *old)[0]
             for c in range(k):
                 mine = best == c
-                out[c] += np.concatenate([x[mine].sum(0), [weight[mine].sum(), mine.sum(), (before[mine] != c).sum(), dist[mine].sum()]])
+                out[c] += np.concatenate([x[mine].sum(0), [weight[mine].sum(), mine.sum(), dist[mine].sum()]])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(k)), pa.array(list(out), pa.list_(pa.float64()))], ["c", "s"])
 
     made = df.mapInArrow(run, "c long, s array<double>")
-    # in an order of their own, so that equal centres give equal sums; k * (D + 4) rows
+    # in an order of their own, so that equal centres give equal sums
+    if parts * k * (dim + 3) <= DRIVER_VALUES:  # a round is then one job of one stage
+        rows = made.collect()
+        mine = [[r["s"] for r in rows if r["c"] == c] for c in range(k)]
+        out = np.array([np.sort(np.array(m).reshape(-1, dim + 3), axis=0).sum(0) for m in mine])
+        return out[:, :dim], out[:, dim], out[:, dim + 1], float(out[:, dim + 2].sum())
+    # k * (D + 3) rows
     added = F.aggregate(F.array_sort(F.collect_list("v")), F.lit(0.0), lambda a, v: a + v)
     total = made.select("c", F.posexplode("s").alias("j", "v")).groupBy("c", "j").agg(added.alias("v")).collect()
-    out = np.zeros((k, dim + 4))
+    out = np.zeros((k, dim + 3))
     for r in total:
         out[r["c"], r["j"]] = r["v"]
-    return out[:, :dim], out[:, dim], out[:, dim + 1], int(out[:, dim + 2].sum()), float(out[:, dim + 3].sum())
+    return out[:, :dim], out[:, dim], out[:, dim + 1], float(out[:, dim + 2].sum())
+
+
+def _same(df: DataFrame, centres: np.ndarray, moved: dict[int, int], fresh: np.ndarray) -> bool:
+    """Whether centres made from the assignment of others give that assignment again.
+
+    Equal ones do. Sums of a frame that is not read in one order differ in their last bits, so for
+    centres as near as that the points are asked.
+    """
+    if np.array_equal(fresh, centres, equal_nan=True):
+        return True
+    if not np.allclose(fresh, centres, rtol=1e-9, atol=1e-12, equal_nan=True):
+        return False
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for batch in batches:
+            if batch.num_rows:
+                point = _matrix(batch, centres.shape[1])
+                n += int((_assigned(*point, centres, moved)[0] != _assigned(*point, fresh, {})[0]).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
+
+    return df.select("point_id", "coords", "weight").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] == 0
 
 
 def _repair(df: DataFrame, k: int, counts: np.ndarray, centres: np.ndarray | None, moved: dict[int, int]) -> dict[int, int] | None:
@@ -134,16 +166,18 @@ def kmeans(df: DataFrame, k: int, start: Column, max_iter: int | None = None, to
         first = df.select(F.size("coords").alias("d")).first()
         if first is None:
             return None
-        dim, centres, moved, old, inertias, seen = first["d"], None, {}, None, [], set()
+        parts = df.rdd.getNumPartitions()
+        dim, centres, moved, inertias, seen = first["d"], None, {}, [], set()
         for turn in counted(1) if max_iter is None else range(1, max_iter + 2):
-            sums, weights, counts, changed, inertia = _sums(df, dim, k, centres, moved, old)
+            sums, weights, counts, inertia = _sums(df, dim, k, centres, moved, parts)
             if centres is not None:
                 inertias.append(inertia)
-                done = changed == 0 if tolerance is None else len(inertias) > 1 and (inertias[-2] - inertia) <= tolerance * inertia
+                # centres that their own assignment makes again: the next round would change none
+                done = (counts > 0).all() and _same(df, centres, moved, sums / weights[:, None]) if tolerance is None else len(inertias) > 1 and (inertias[-2] - inertia) <= tolerance * inertia
                 again = centres.tobytes() in seen
                 seen.add(centres.tobytes())
                 if done or again or (max_iter is not None and turn > max_iter):
-                    return Clustering(centres, weights, turn - 1, done, inertia, moved, inertias)
+                    return Clustering(centres, weights, turn - 1, bool(done), inertia, moved, inertias)
             if (counts == 0).any():
                 fixed = _repair(df, k, counts, centres, moved)
                 if fixed is None:
@@ -151,11 +185,11 @@ def kmeans(df: DataFrame, k: int, start: Column, max_iter: int | None = None, to
                 if centres is None:
                     where = F.create_map(*[F.lit(x) for pair in fixed.items() for x in pair])
                     df = df.withColumn("start", F.coalesce(where[F.col("point_id")], F.col("start")).cast("int"))
-                    sums, weights, counts, _, _ = _sums(df, dim, k, None, {}, None)
+                    sums, weights, counts, _ = _sums(df, dim, k, None, {}, parts)
                 else:
-                    sums, weights, counts, _, _ = _sums(df, dim, k, centres, fixed, None)
+                    sums, weights, counts, _ = _sums(df, dim, k, centres, fixed, parts)
                     moved = fixed
-            old, centres, moved = (centres, moved), sums / weights[:, None], {}
+            centres, moved = sums / weights[:, None], {}
         return None
     finally:
         if keep:

@@ -329,3 +329,20 @@ def test_generators(spark):
     assert ints.where("v < 0").count() > 300 and dict(ints.dtypes)["v"] == "int"
     assert generators.random_ints(spark, 100, 1, "double").where("v < 0").count() == 0
     assert generators.gaussian_blobs(spark, 10, 4, 2, 1).where("size(coords) = 4").count() == 10
+
+
+def test_a_round_is_one_stage_and_one_assignment(spark, monkeypatch):
+    df = spark.range(400).select(F.col("id").alias("point_id"), F.array(F.col("id") % 20 * 1.0, F.col("id") % 7 * 1.0).alias("coords"), F.lit(1.0).alias("weight"))
+    found = kmeans.kmeans(df, 3, kmeans.round_robin(3))
+    stages = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("one round", "")
+    kmeans._sums(df.withColumn("start", kmeans.round_robin(3)), 2, 3, found.centres, {}, 4)
+    jobs = [stages.getJobInfo(j) for j in stages.getJobIdsForGroup("one round")]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [len(j.stageIds) for j in jobs] == [1]
+    monkeypatch.setattr(kmeans, "DRIVER_VALUES", 0)
+    by_tasks = kmeans.kmeans(df, 3, kmeans.round_robin(3))
+    assert found.converged and by_tasks.rounds == found.rounds and np.allclose(found.centres, by_tasks.centres, rtol=1e-12)
+    near = found.centres * (1 + 1e-13)
+    assert kmeans._same(df, found.centres, {}, found.centres) and kmeans._same(df, found.centres, {}, near) and not kmeans._same(df, found.centres, {0: 2, 1: 1, 2: 0}, near)
+    assert not kmeans._same(df, found.centres, {}, found.centres + 1)
